@@ -6,19 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import simhash
+from pressmill.llm import decontaminate, langid, packing, records, simhash, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage found in a document, with its place in the original text."""
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of 50 words or more that an earlier document has too."""
+    return substrings.repeats(_documents(spark, sf_dir))
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's token ids as framed records; the rows are their index."""
+    return records.write(_documents(spark, sf_dir), records.new_folder(spark))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of each near-duplicate and the kept_doc_id that stays in its place."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, the cosine with its prototype, and whether it is accepted."""
+    docs = _documents(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.selectExpr("doc_id", "__pm_language as language", "__pm_cosine as cosine", "__pm_accepted as accepted")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, or places, in sequences of 4,096 tokens."""
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_records": op5_token_records,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_language_id": op8_language_id,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
