@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontaminate, langid, packing, records, simhash, substrings
+from pressmill.llm import decontaminate, fingerprints, langid, licenses, packing, quality, records, simhash, substrings, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chunk digests, and which share of it other documents have too."""
+    return fingerprints.corpus_containment(_documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage found in a document, with its place in the original text."""
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -23,11 +28,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(_documents(spark, sf_dir))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's URL and how likely it is bad."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urlfilter.score(pages, urlfilter.train(pages))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's token ids as framed records; the rows are their index."""
     return records.write(_documents(spark, sf_dir), records.new_folder(spark))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality by the labellers' votes and by the scorer trained on them."""
+    docs = _documents(spark, sf_dir)
+    return quality.judge(docs, *quality.train(docs))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of each near-duplicate and the kept_doc_id that stays in its place."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
@@ -40,17 +57,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "__pm_language as language", "__pm_cosine as cosine", "__pm_accepted as accepted")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each license notice in a document, with its coverage and place."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place, or places, in sequences of 4,096 tokens."""
     return packing.pack(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_token_records": op5_token_records,
+    "op6_quality": op6_quality,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
