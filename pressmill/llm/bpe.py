@@ -21,7 +21,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _TOP = 0x20000
 _SPACES = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = range(5)
-_CACHED = 300_000
+_CACHED = 200_000
 
 
 @lru_cache(1)
@@ -84,7 +84,7 @@ class Encoder:
         owner = np.searchsorted(starts, begin, "right") - 1
         stay = (kind[begin] != 9) & ~odd[owner]
         begin, end, owner = begin[stay], end[stay], owner[stay]
-        size = 1 << max(20, int(len(points)).bit_length())
+        size = 1 << max(18, int(len(points)).bit_length())
         up, down = _powers(size)
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(values[low] * up[: len(points)], out=total[1:])

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pressmill.llm.text import code_points, lowered, map_texts, slices
+from pressmill.llm.text import code_points, lowered, map_texts, slices, small_batches
 
 DIMENSIONS, SEED = 1024, 11
 #: Prototypes are bundled from at most so many labelled documents of a language, those of least hashed doc_id.
 SAMPLE_PER_LANGUAGE = 400
 #: A text of at least MIN_TRIGRAMS of which the cosine is less is in no known language: it is rejected, as is one without letters.  A shorter text says too little to reject it.
 MIN_COSINE, MIN_TRIGRAMS = 0.12, 30
-_LATIN, _SYMBOLS, _BLOCK = 0x250, 1024, 8192
+_LATIN, _SYMBOLS, _BLOCK = 0x250, 1024, 1024
 
 
 @lru_cache(1)
@@ -102,6 +102,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
     A text without letters (also null and empty) has no language, cosine 0 and isn't accepted; without prototypes no text is.  Ties go to the first language by name.
     """
+    small_batches(docs.sparkSession)
     names = sorted(prototypes)
     table = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, DIMENSIONS))
     arrow_names = np.array([*names, None], object)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.bpe import VOCABULARY, encoder
 from pressmill.llm.storage import shared_dir
-from pressmill.llm.text import slices
+from pressmill.llm.text import slices, small_batches
 
 _BLOCK = 256
 _POLY = 0x82F63B78
@@ -139,6 +139,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
             system.move(f"{root}/.{name}.idx", f"{root}/{name}.idx")
             system.move(f"{root}/.{name}", f"{root}/{name}.rec")
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, file string, record bigint, record_offset bigint, length int, tokens int")
 
 

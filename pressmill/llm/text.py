@@ -3,8 +3,8 @@
 Texts of an Arrow batch are laid end to end as code points and handled by
 array operations; there is no Python loop over characters or words.  A word is
 a maximal run of letters, digits and combining marks; words compare without
-case.  Batches are cut into slices of about a million characters so that a
-worker's memory doesn't depend on the batch; a longer text is a slice alone.
+case.  Batches are cut into slices of about a quarter of a million characters so
+that a worker's memory doesn't depend on the batch; a longer text is a slice alone.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 _TOP = 0x20000  # code points from here on count as this one's class: a letter without case
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -80,7 +80,7 @@ class Words:
         inside[:n] = value != 0
         step = np.diff(inside, prepend=np.int8(0))
         self.begin, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        up, down = _powers(1 << max(20, int(n).bit_length()))
+        up, down = _powers(1 << max(18, int(n).bit_length()))
         value *= up[:n]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(value, out=total[1:])
@@ -129,6 +129,14 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield i, len(texts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of an Arrow batch where they are Spark's defaults: rows of whole texts are large, and a batch is held on both sides."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[str], pa.RecordBatch], Iterator[dict] | None], schema: str, limit: int = SLICE_CHARS) -> DataFrame:
     """Runs fn over slices of df, whose column text becomes a list of strings with '' for null.  fn yields dictionaries of columns."""
     from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: PLC2701
@@ -136,6 +144,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str], pa.RecordBatch], Iterator[
 
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

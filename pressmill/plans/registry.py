@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from pressmill.plans import document_queries, page_queries, site_queries, url_queries
+
+_PARTS = (url_queries, document_queries, page_queries, site_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: q for part in _PARTS for name, q in part.ORACLES.items()}
