@@ -1,8 +1,8 @@
 """Keywords and summaries, within the row: no shuffle and no Python.
 
 A text's words are sorted and counted by runs; sentences are scored by
-expressions over their words.  Each step is its own projection, so that nothing
-is computed twice.
+expressions over their words.  Each step is kept apart from those that use it
+(see _step), so that nothing is computed twice.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ def _stop(language: str) -> list[str]:
     return sorted(NEWS if language == "en" else stopwords(language))
 
 
+def _step(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """frame with a column that the optimizer doesn't write out in the expressions over it: within a lambda it would be computed for each element.  A generator of one row keeps it apart, for filters too."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
 def content_words(words: Column, language: str = "en") -> Column:
     """words without stop words."""
     return F.filter(words, lambda w: ~w.isin(*_stop(language)))
@@ -30,13 +35,13 @@ def content_words(words: Column, language: str = "en") -> Column:
 def _most(frame: DataFrame, words: str, total: str, out: str, n: int, language: str) -> DataFrame:
     """Adds out: array of struct(n, word) of the words counted most, ties in reverse alphabetical order, and with total their scores."""
     s, at = f"__{out}_s", f"__{out}_at"
-    frame = frame.withColumn(s, F.sort_array(content_words(F.col(words), language)))
+    frame = _step(frame, s, F.sort_array(content_words(F.col(words), language)))
     size = F.size(s)
-    frame = frame.withColumn(at, F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(F.col(s), i) != F.get(F.col(s), i - 1)))).otherwise(F.array().cast("array<int>")))
+    frame = _step(frame, at, F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(F.col(s), i) != F.get(F.col(s), i - 1)))).otherwise(F.array().cast("array<int>")))
     ends = F.concat(F.slice(F.col(at), F.lit(2), F.greatest(F.size(at), F.lit(1))), F.array(size))
     counted = F.zip_with(F.col(at), F.slice(ends, F.lit(1), F.size(at)), lambda a, b: F.struct((b - a).alias("n"), F.get(F.col(s), a).alias("word")))
-    frame = frame.withColumn(out, F.slice(F.sort_array(counted, False), 1, n))
-    return frame.withColumn(out, F.transform(out, lambda k: F.struct(k["word"].alias("word"), k["n"].cast("bigint").alias("n"), (k["n"] / F.col(total) * 1.5 + 1).alias("score")))).drop(s, at)
+    top = F.slice(F.sort_array(counted, False), 1, n)
+    return _step(frame, out, F.transform(top, lambda k: F.struct(k["word"].alias("word"), k["n"].cast("bigint").alias("n"), (k["n"] / F.col(total) * 1.5 + 1).alias("score")))).drop(s, at)
 
 
 def with_keywords(docs: DataFrame, text: str = "text", out: str = "keywords", language: str = "en", split_newlines: bool = False) -> DataFrame:
@@ -46,7 +51,7 @@ def with_keywords(docs: DataFrame, text: str = "text", out: str = "keywords", la
     """
     w, n = f"__{out}_w", f"__{out}_n"
     split = words_apart if split_newlines else words_glued
-    frame = docs.withColumn(w, F.coalesce(split(F.col(text)), F.array().cast("array<string>"))).withColumn(n, F.size(w))
+    frame = _step(_step(docs, w, F.coalesce(split(F.col(text)), F.array().cast("array<string>"))), n, F.size(w))
     return _most(frame, w, n, out, TOP_KEYWORDS, language).drop(w, n)
 
 
@@ -90,14 +95,14 @@ def density_score(keywords: Column, words: Column) -> Column:
 def with_sentence_scores(docs: DataFrame, text: str = "text", title: str = "title", keywords: str = "keywords", language: str = "en") -> DataFrame:
     """docs with scored: array of struct(i, sentence, title_score, length_score, position_score, sum_score, density_score, score)."""
     kw = F.map_from_entries(F.transform(F.col(keywords), lambda k: F.struct(k["word"], k["score"])))
-    frame = docs.withColumn("__kw", kw).withColumn("__title", F.array_compact(content_words(F.coalesce(words_glued(F.col(title)), F.array().cast("array<string>")), language)))
-    frame = frame.withColumn("__sentences", F.coalesce(sentences(F.col(text)), F.array().cast("array<string>"))).withColumn("__words", F.transform("__sentences", words_glued))
+    frame = _step(_step(docs, "__kw", kw), "__title", F.array_compact(content_words(F.coalesce(words_glued(F.col(title)), F.array().cast("array<string>")), language)))
+    frame = _step(_step(frame, "__sentences", F.coalesce(sentences(F.col(text)), F.array().cast("array<string>"))), "__words", F.transform("__sentences", words_glued))
     n = F.size("__sentences")
     parts = F.transform("__words", lambda w, i: F.struct(i.alias("i"), F.get(F.col("__sentences"), i).alias("sentence"), F.when(F.size("__title") > 0, title_score(F.col("__title"), w)).otherwise(0.0).alias("title_score"), length_score(w).alias("length_score"), position_score(i + 1, n).alias("position_score"), sum_score(F.col("__kw"), w).alias("sum_score"), density_score(F.col("__kw"), w).alias("density_score")))
-    frame = frame.withColumn("__parts", parts)
+    frame = _step(frame, "__parts", parts)
     total = lambda p: (p["title_score"] * 1.5 + (p["sum_score"] + p["density_score"]) / 2 * 10 * 2 + p["length_score"] + p["position_score"]) / 4
     names = ("i", "sentence", "title_score", "length_score", "position_score", "sum_score", "density_score")
-    return frame.withColumn("scored", F.transform("__parts", lambda p: F.struct(*(p[k].alias(k) for k in names), F.round(total(p), 9).alias("score")))).drop("__kw", "__title", "__sentences", "__words", "__parts")
+    return _step(frame, "scored", F.transform("__parts", lambda p: F.struct(*(p[k].alias(k) for k in names), F.round(total(p), 9).alias("score")))).drop("__kw", "__title", "__sentences", "__words", "__parts")
 
 
 def with_summary(docs: DataFrame, text: str = "text", title: str = "title", language: str = "en", most: int = 5, cut: int = 5000) -> DataFrame:

@@ -15,7 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
-_GLUED = "list_filter(string_split(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', '', 'g')), ' '), w -> w <> '')"
+_GLUED = "list_filter(string_split(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', '', 'g')), ' '), lambda w: w <> '')"
 
 
 def doc_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def doc_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_STOPWORDS = f"""WITH w AS (SELECT doc_id, string_split(lower(regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g')), ' ') AS words FROM documents)
-SELECT doc_id, len(list_filter(words, x -> list_contains({_list(ENGLISH)}, x)))::BIGINT AS stop_word_count, len(words)::BIGINT AS word_count FROM w"""
+SELECT doc_id, len(list_filter(words, lambda x: list_contains({_list(ENGLISH)}, x)))::BIGINT AS stop_word_count, len(words)::BIGINT AS word_count FROM w"""
 
 
 def doc_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,29 +42,30 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|Gen|Col|Lt|Sgt|Rev|Hon|Inc|Ltd|Co|Corp|vs|etc|No|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|[A-Z]"
-_SENTENCES = f"""list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b({_ABBREVIATIONS})\\.(\\s)', '\\1' || chr(1) || '\\2', 'g'), '([.!?]["''”’)]*)\\s+', '\\1' || chr(2), 'g'), chr(2)), s -> replace(s, chr(1), '.')), s -> length(s) > 10), s -> replace(s, chr(10), ''))"""
+_SENTENCES = f"""list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b({_ABBREVIATIONS})\\.(\\s)', '\\1' || chr(1) || '\\2', 'g'), '([.!?]["''”’)]*)\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda s: replace(s, chr(1), '.')), lambda s: length(s) > 10), lambda s: replace(s, chr(10), ''))"""
 DOC_SENTENCES = f"SELECT doc_id, unnest(range(len(ss)))::BIGINT AS i, unnest(ss) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents)"
 
 
 def doc_sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = nlp.with_sentence_scores(nlp.with_keywords(_docs(spark, sf_dir))).select("doc_id", F.explode("scored").alias("s"))
-    return scored.select("doc_id", F.col("s.i").cast("bigint").alias("i"), *(F.round(f"s.{c}", 6).alias(c) for c in ("title_score", "length_score", "position_score", "sum_score", "density_score", "score")))
+    return scored.select("doc_id", F.col("s.i").cast("bigint").alias("i"), *(F.expr(f"floor(s.{c} * 1e6 + 0.5001) / 1e6").alias(c) for c in ("title_score", "length_score", "position_score", "sum_score", "density_score", "score")))
 
 
 _SCORES = f"""{_KEYWORDS},
-t AS (SELECT doc_id, list_filter({_GLUED.format('title')}, x -> NOT list_contains({_list(NEWS)}, x)) AS tw FROM w),
+t AS (SELECT doc_id, list_filter({_GLUED.format('title')}, lambda x: NOT list_contains({_list(NEWS)}, x)) AS tw FROM w),
 s AS (SELECT doc_id, unnest(range(len(ss))) AS i, unnest(ss) AS sentence, len(ss) AS total FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents)),
 sw AS (SELECT *, {_GLUED.format('sentence')} AS words FROM s),
 x AS (SELECT doc_id, i, unnest(words) AS word, unnest(range(len(words))) AS pos FROM sw),
 h AS (SELECT x.doc_id, x.i, x.pos, x.word, k.score AS v FROM x JOIN k USING (doc_id, word)),
 g AS (SELECT *, v * lag(v) OVER q / (pos - lag(pos) OVER q) ^ 2 AS pair FROM h WINDOW q AS (PARTITION BY doc_id, i ORDER BY pos)),
 a AS (SELECT doc_id, i, sum(v) AS total_v, coalesce(sum(pair), 0) AS pairs, count(DISTINCT word) + 1 AS kk FROM g GROUP BY doc_id, i),
-p AS (SELECT sw.doc_id, sw.i, sw.sentence, CASE WHEN len(tw) > 0 THEN len(list_filter(words, y -> list_contains(tw, y))) / len(tw) ELSE 0 END AS title_score, 1 - abs(20 - len(words)) / 20 AS length_score,
+p AS (SELECT sw.doc_id, sw.i, sw.sentence, CASE WHEN len(tw) > 0 THEN len(list_filter(words, lambda y: list_contains(tw, y))) / len(tw) ELSE 0 END AS title_score, 1 - abs(20 - len(words)) / 20 AS length_score,
  CASE WHEN (sw.i + 1) / total <= 0.1 THEN 0.17 WHEN (sw.i + 1) / total <= 0.2 THEN 0.23 WHEN (sw.i + 1) / total <= 0.3 THEN 0.14 WHEN (sw.i + 1) / total <= 0.4 THEN 0.08 WHEN (sw.i + 1) / total <= 0.5 THEN 0.05 WHEN (sw.i + 1) / total <= 0.6 THEN 0.04 WHEN (sw.i + 1) / total <= 0.7 THEN 0.06 WHEN (sw.i + 1) / total <= 0.9 THEN 0.04 ELSE 0.15 END::DOUBLE AS position_score,
  CASE WHEN len(words) > 0 THEN coalesce(total_v, 0) / len(words) / 10 ELSE 0 END AS sum_score, CASE WHEN len(words) > 0 THEN coalesce(pairs / (kk * (kk + 1)), 0) ELSE 0 END AS density_score
  FROM sw JOIN t USING (doc_id) LEFT JOIN a ON sw.doc_id = a.doc_id AND sw.i = a.i),
 r AS (SELECT *, round((title_score * 1.5 + (sum_score + density_score) / 2 * 10 * 2 + length_score + position_score) / 4, 9) AS score FROM p)"""
-DOC_SENTENCE_SCORES = f"WITH {_SCORES} SELECT doc_id, i::BIGINT AS i, round(title_score, 6) AS title_score, round(length_score, 6) AS length_score, round(position_score, 6) AS position_score, round(sum_score, 6) AS sum_score, round(density_score, 6) AS density_score, round(score, 6) AS score FROM r"
+_ROUNDED = ", ".join(f"floor({c} * 1e6 + 0.5001) / 1e6 AS {c}" for c in ("title_score", "length_score", "position_score", "sum_score", "density_score", "score"))
+DOC_SENTENCE_SCORES = f"WITH {_SCORES} SELECT doc_id, i::BIGINT AS i, {_ROUNDED} FROM r"
 
 
 def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ _P = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?
 _TYPES = ", ".join(f"'{t}'" for t in U.PAGE_TYPES)
 _STEPS = f"""
 p AS (SELECT page_id, u, lower(regexp_extract(u, '{_P}', 1)) AS scheme, regexp_extract(u, '{_P}', 2) AS domain, regexp_extract(u, '{_P}', 3) AS path, regexp_extract(u, '{_P}', 4) AS query, regexp_extract(u, '{_P}', 5) AS fragment FROM {_FROM}),
-l AS (SELECT *, string_split(lower(regexp_replace(regexp_replace(domain, '^.*@', ''), ':[0-9]*$', '')), '.') AS labels, list_filter(string_split(path, '/'), c -> c <> '') AS chunks FROM p),
+l AS (SELECT *, string_split(lower(regexp_replace(regexp_replace(domain, '^.*@', ''), ':[0-9]*$', '')), '.') AS labels, list_filter(string_split(path, '/'), lambda c: c <> '') AS chunks FROM p),
 s AS (SELECT *, CASE WHEN array_to_string(labels[-2:], '.') IN ({", ".join(f"'{x}'" for x in U.SUFFIXES)}) THEN 2 ELSE 1 END AS sz, CASE WHEN len(chunks) > 0 AND contains(chunks[-1], '.') THEN regexp_extract(chunks[-1], '\\.([^.]*)$', 1) END AS ending FROM l),
 f AS (SELECT *, coalesce(CASE WHEN len(labels) - sz >= 1 THEN labels[len(labels) - sz] END, CASE WHEN len(labels) = 1 THEN labels[1] END, '') AS site, CASE WHEN len(labels) - sz > 1 THEN array_to_string(labels[1:len(labels) - sz - 1], '.') ELSE '' END AS subdomain, CASE WHEN ending <> '' AND (length(ending) <= 5 OR lower(ending) IN ({_TYPES})) THEN lower(ending) END AS filetype FROM s)"""
 
@@ -69,18 +69,18 @@ SELECT page_id, u, CASE WHEN u IS NULL OR length(u) < 11 THEN false WHEN contain
  WHEN (dashes > 4 OR bars > 4) AND bars > dashes AND NOT list_contains(string_split(lower(slug), '_'), site) THEN true
  WHEN len(pieces) <= 1 THEN false WHEN list_has_any(pieces, {_list(U.SERVICE_PATHS)}) OR list_contains({_list(U.SERVICE_PATHS)}, subdomain) THEN false
  WHEN regexp_matches(u, '([./_-]?(?:19|20)[0-9]{{2}})[./_-]?(?:[0-3]?[0-9][./_-]|[0-9A-Za-z_]{{3,5}}[./_-])') THEN true
- WHEN len(list_filter(pieces, c -> list_contains({_list(U.NEWS_PATHS)}, lower(c)))) > 0 THEN true ELSE false END AS valid FROM d"""
+ WHEN len(list_filter(pieces, lambda c: list_contains({_list(U.NEWS_PATHS)}, lower(c)))) > 0 THEN true ELSE false END AS valid FROM d"""
 
 
 def url_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _urls(spark, sf_dir).select("page_id", U.date_part(F.col("u")).alias("date_part"), U.url_date(F.col("u")).alias("published"))
+    return _urls(spark, sf_dir).select("page_id", U.date_part(F.col("u")).alias("date_part"), U.url_date(F.col("u")).cast("string").alias("published"))
 
 
 _D = r"[./_-]?(?:19|20)[0-9]{2}[./_-]?(?:[0-3]?[0-9][./_-]|[0-9A-Za-z_]{3,5}[./_-])(?:[0-3]?[0-9][./-]?)?"
 _YMD = r"^[./_-]?((?:19|20)[0-9]{2})[./_-]?([0-9]{1,2}|[A-Za-z]{3,5})[./_-]([0-9]{1,2})"
 URL_DATES = f"""WITH a AS (SELECT page_id, regexp_extract(u, '[^0-9A-Za-z_]({_D})', 1) AS date_part FROM {_FROM}),
 b AS (SELECT *, regexp_extract(date_part, '{_YMD}', 1) AS y, regexp_extract(date_part, '{_YMD}', 2) AS m, regexp_extract(date_part, '{_YMD}', 3) AS d FROM a)
-SELECT page_id, date_part, try_cast(CASE WHEN y <> '' THEN concat(y, '-', lpad(CASE WHEN regexp_matches(m, '^[0-9]') THEN m ELSE list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left(m, 3)))::VARCHAR END, 2, '0'), '-', lpad(d, 2, '0')) END AS DATE) AS published FROM b"""
+SELECT page_id, date_part, try_cast(CASE WHEN y <> '' THEN concat(y, '-', lpad(CASE WHEN regexp_matches(m, '^[0-9]') THEN m ELSE list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left(m, 3)))::VARCHAR END, 2, '0'), '-', lpad(d, 2, '0')) END AS DATE)::VARCHAR AS published FROM b"""
 
 
 def url_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def url_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls(spark, sf_dir).select("page_id", U.remove_args(u).alias("bare"), U.remove_args(u, ("id",), True).alias("kept"), U.escaped_fragment(F.concat(u, F.lit("#!x"))).alias("escaped"))
 
 
-URL_ARGUMENTS = f"""WITH {_STEPS}, q AS (SELECT *, regexp_replace(u, '[?#].*$', '') AS bare, array_to_string(list_filter(string_split(query, '&'), i -> starts_with(i, 'id')), '&') AS k FROM f)
+URL_ARGUMENTS = f"""WITH {_STEPS}, q AS (SELECT *, regexp_replace(u, '[?#].*$', '') AS bare, array_to_string(list_filter(string_split(query, '&'), lambda i: starts_with(i, 'id')), '&') AS k FROM f)
 SELECT page_id, bare, concat(bare, CASE WHEN k <> '' THEN concat('?', k) ELSE '' END, CASE WHEN fragment <> '' THEN concat('#', fragment) ELSE '' END) AS kept, concat(u, '?_escaped_fragment_=x') AS escaped FROM q"""
 
 
