@@ -274,7 +274,7 @@ def rows(root: Node | None) -> list[tuple]:
 
 @F.pandas_udf(T.ArrayType(NODE))
 def _tree(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [dict(zip(NODE.names, r, strict=True)) | {"attrs": list(r[6].items())} for r in rows(parse(h))])
+    return html.map(lambda h: [dict(zip(NODE.names, r, strict=True)) for r in rows(parse(h))])
 
 
 def parse_dom(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -39,6 +39,11 @@ def select(nodes: Column, where) -> Column:
     return F.filter(nodes, where)
 
 
+def having(nodes: Column, name: str, value: str) -> Column:
+    """The nodes of which the attribute contains the value."""
+    return F.filter(nodes, lambda n: contains(n, name, value))
+
+
 def by_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
@@ -72,7 +77,7 @@ def meta_description(nodes: Column) -> Column:
 
 def meta_keywords(nodes: Column) -> Column:
     """The keywords between commas, trimmed; one empty keyword without the tag."""
-    return F.transform(F.split(meta_content(nodes, "name", "keywords"), ","), F.trim)
+    return F.transform(F.split(meta_content(nodes, "name", "keywords"), ","), lambda s: F.trim(s))
 
 
 def meta_favicon(nodes: Column) -> Column:
@@ -132,7 +137,7 @@ def feed_links(nodes: Column, limit: int = 50) -> Column:
 
 def text_urls(text: Column) -> Column:
     """http(s) addresses in a text whose tags are taken out."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "<[^<]+?>", " "), F.lit(r"(https?://(?:[a-zA-Z0-9]|[$-_@.&+]|[!*(),]|%[0-9a-fA-F]{2})+)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "<[^<]+?>", " "), F.lit(r"(https?://(?:[a-zA-Z0-9]|[$-_@.&+]|[!*(),]|%[0-9a-fA-F]{2})+)"), 1), lambda s: F.trim(s))
 
 
 # --- title -----------------------------------------------------------------------------------------------------
@@ -145,10 +150,10 @@ def _plain(text: Column) -> Column:
 def split_title(text: Column, separator: str, hint: Column) -> Column:
     """The first piece that holds the hint (letters and digits alone), else the longest."""
     bare = lambda t: F.lower(F.regexp_replace(t, "[^a-zA-Z0-9 ]", ""))
-    pieces = F.transform(F.split(text, separator), F.trim)
+    pieces = F.transform(F.split(text, separator), lambda s: F.trim(s))
     key = bare(hint)
     held = F.filter(pieces, lambda p: (key != "") & bare(p).contains(key))
-    most = F.array_max(F.transform(pieces, F.length))
+    most = F.array_max(F.transform(pieces, lambda s: F.length(s)))
     best = F.when(F.size(held) > 0, first(held)).otherwise(first(F.filter(pieces, lambda p: F.length(p) == most)))
     return F.trim(F.replace(best, F.lit("&raquo;"), F.lit("»")))
 
@@ -158,7 +163,7 @@ def title(nodes: Column) -> Column:
     titles = by_tag(nodes, "title")
     text = F.coalesce(first(titles)["inner_text"], F.lit(""))
     heads = F.transform(by_tag(nodes, "h1"), lambda n: n["inner_text"])
-    most = F.array_max(F.transform(heads, F.length))
+    most = F.array_max(F.transform(heads, lambda s: F.length(s)))
     longest = F.coalesce(first(F.filter(heads, lambda h: F.length(h) == most)), F.lit(""))
     h1 = F.when(F.size(F.split(longest, " ")) <= 2, "").otherwise(inner_trim(longest))
     by_property = meta_content(nodes, "property", "og:title")
@@ -191,7 +196,7 @@ def author_lines(nodes: Column) -> Column:
     found = []
     for a in AUTHOR_ATTRS:
         for v in AUTHOR_VALUES:
-            found.append(F.transform(F.filter(nodes, lambda n, a=a, v=v: contains(n, a, v)), lambda n: F.when(n["tag"] == "meta", attr(n, "content")).otherwise(n["inner_text"])))
+            found.append(F.transform(having(nodes, a, v), lambda n: F.when(n["tag"] == "meta", attr(n, "content")).otherwise(n["inner_text"])))
     return F.filter(F.concat(*found), lambda s: s.isNotNull() & (s != ""))
 
 
@@ -250,7 +255,7 @@ def _parsed(texts: pd.Series) -> pd.Series:
 
 def date_texts(nodes: Column) -> Column:
     """The texts of publication date tags, one a rule, in the rules' order."""
-    each = [attr(first(F.filter(nodes, lambda n, a=a, v=v: contains(n, a, v))), c) for a, v, c in DATE_TAGS]
+    each = [attr(first(having(nodes, a, v)), c) for a, v, c in DATE_TAGS]
     return F.filter(F.array(*each), lambda s: s.isNotNull() & (s != ""))
 
 
