@@ -1,2 +1,230 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over discovery operators, memos, sources and streams.  Homes, categories and feeds are made from pages by expressions that Spark and SQL share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressmill.functions import urls as U
+from pressmill.operators import discover, dom
+from pressmill.sources import memo as memos
+from pressmill.sources import pages as P
+from pressmill.streaming import memo as streams
+
+_SITE = "concat('http://www.site', page_id % 9, '.example.com')"
+#: A home page with a link of each kind.
+HOME = """concat('<html><body><a href="/world">World</a><a href="/world/">Again</a><a href="/world/deep/er">Deep</a><a href="#top">Top</a><a href="mailto:x@y.test">Mail</a><a href="/login">In</a>',
+ '<a href="http://sport.site', page_id % 9, '.example.com/a/b">Sport</a><a href="http://m.example.com/">Mobile</a><a href="http://other', page_id, '.test/x">Other</a><a href="/averyveryverylongname">Long</a></body></html>')"""
+#: A category with feeds and articles.
+CATEGORY = """concat('<html><head><link type="application/rss+xml" href="/rss/', page_id % 4, '.xml"><link type="APPLICATION/RSS+XML" href="http://feeds.test/', page_id % 3, '"></head><body><a href="/news/story-', page_id % 50, '">Story ', page_id, ' <b>x</b></a>',
+ '<a href="/2014/05/0', page_id % 9 + 1, '/item">Dated</a><a href="/about/news/x">About</a><a href="pic.pdf">Paper</a></body></html>')"""
+RSS = """concat('<rss><channel><title>Feed</title><item><title>T', page_id, '</title><link>http://www.site', page_id % 9, '.example.com/news/story-', page_id % 40, '</link></item><item><title><![CDATA[B', page_id, ']]></title><link>http://x.test/about</link></item></channel></rss>')"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.parse_dom(_pages(spark, sf_dir).where("page_id % 9 < 5").selectExpr(f"{_SITE} AS url", f"{HOME} AS html"))
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).selectExpr(f"{_SITE} AS source_url", f"concat({_SITE}, '/c/', page_id) AS url", f"{CATEGORY} AS html")
+    return dom.parse_dom(rows)
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).selectExpr(f"concat({_SITE}, '/feed/', page_id) AS url", f"{RSS} AS rss")
+
+
+def _memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).where("page_id % 2 = 0").selectExpr("concat('www.site', page_id % 9, '.example.com') AS domain", f"concat({_SITE}, '/news/story-', page_id % 50) AS url").distinct()
+
+
+def site_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", F.expr("CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://x.test' WHEN 2 THEN concat('https://news.bbc.co.uk:81/', page_id) ELSE url END").alias("url"))
+    return discover.sources(rows).select("page_id", "scheme", "domain", "brand")
+
+
+SITE_SOURCES = """SELECT page_id, CASE WHEN page_id % 5 = 2 THEN 'https' ELSE regexp_extract(url, '^https?') END AS scheme, CASE WHEN page_id % 5 = 2 THEN 'news.bbc.co.uk:81' ELSE regexp_extract(url, '://([^/?#]*)', 1) END AS domain,
+ CASE WHEN page_id % 5 = 2 THEN 'bbc' ELSE string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')[-2] END AS brand FROM pages WHERE page_id % 5 > 1"""
+
+
+def site_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.category_urls(_homes(spark, sf_dir))
+
+
+SITE_CATEGORIES = """WITH s AS (SELECT DISTINCT page_id % 9 AS k FROM pages WHERE page_id % 9 < 5)
+SELECT concat('http://www.site', k, '.example.com') AS source_url, unnest([concat('http://www.site', k, '.example.com'), concat('http://www.site', k, '.example.com/world'), concat('http://sport.site', k, '.example.com')]) AS url FROM s"""
+
+
+def site_common_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select(F.expr(f"CASE WHEN page_id % 9 = 0 THEN concat('https://medium.com/@user', page_id % 18, '/x') ELSE {_SITE} END").alias("url"))
+    return discover.common_feeds(rows)
+
+
+SITE_COMMON_FEEDS = f"""WITH u AS (SELECT DISTINCT CASE WHEN page_id % 9 = 0 THEN concat('https://medium.com/@user', page_id % 18, '/x') ELSE {_SITE} END AS url FROM pages)
+SELECT url AS source_url, concat('https://medium.com/feed/', regexp_extract(url, '@[^/]+')) AS url FROM u WHERE contains(url, 'medium.com') UNION ALL SELECT url, unnest([concat(url, '/feed'), concat(url, '/feeds'), concat(url, '/rss')]) FROM u WHERE NOT contains(url, 'medium.com')"""
+
+
+def site_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.feed_urls(_categories(spark, sf_dir))
+
+
+SITE_FEEDS = f"""WITH c AS (SELECT {_SITE} AS source_url, concat({_SITE}, '/c/', page_id) AS u, [concat('/rss/', page_id % 4, '.xml'), concat('http://feeds.test/', page_id % 3)] AS hrefs FROM pages),
+e AS (SELECT source_url, u, unnest([1, 2]) AS i, unnest(hrefs) AS h FROM c), t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY u, i) <= 50)
+SELECT DISTINCT source_url, CASE WHEN starts_with(h, '/') THEN concat(source_url, h) ELSE h END AS url FROM t"""
+
+
+def site_category_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.category_articles(_categories(spark, sf_dir))
+
+
+_FROM_CATEGORIES = f"""SELECT concat({_SITE}, '/c/', page_id) AS source_url, unnest([concat({_SITE}, '/news/story-', page_id % 50), concat({_SITE}, '/2014/05/0', page_id % 9 + 1, '/item')]) AS url, unnest([concat('Story ', page_id, ' '), 'Dated']) AS title, unnest([0, 1])::BIGINT AS pos FROM pages"""
+SITE_CATEGORY_ARTICLES = _FROM_CATEGORIES
+
+
+def site_feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discover.feed_articles(_feeds(spark, sf_dir))
+
+
+_FROM_FEEDS = f"SELECT concat({_SITE}, '/feed/', page_id) AS source_url, concat({_SITE}, '/news/story-', page_id % 40) AS url, '' AS title, 0::BIGINT AS pos FROM pages"
+SITE_FEED_ARTICLES = _FROM_FEEDS
+
+
+def site_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer as one: the first one's place and the last one's values."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS url", "o_orderkey AS pos", "o_orderpriority AS title")
+    return discover.unique(rows)
+
+
+SITE_UNIQUE = "SELECT o_custkey AS url, min(o_orderkey) AS pos, max_by(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY o_custkey"
+
+
+def site_new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of articles from categories and feeds that the memo lacks."""
+    return discover.generate_articles(_categories(spark, sf_dir), _feeds(spark, sf_dir), _memo(spark, sf_dir)).select("url", "pos")
+
+
+_MEMO = f"SELECT DISTINCT concat('www.site', page_id % 9, '.example.com') AS domain, concat({_SITE}, '/news/story-', page_id % 50) AS url FROM pages WHERE page_id % 2 = 0"
+SITE_NEW_ARTICLES = f"""WITH a AS (SELECT source_url, url, pos + 1099511627776 AS pos FROM ({_FROM_CATEGORIES}) UNION ALL SELECT source_url, url, pos FROM ({_FROM_FEEDS})), m AS ({_MEMO}),
+u AS (SELECT regexp_extract(source_url, '://([^/]*)', 1) AS domain, url, min(pos) AS pos FROM a GROUP BY ALL)
+SELECT url, pos FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.domain = u.domain AND m.url = u.url) ORDER BY pos, url LIMIT 5000"""
+
+
+def memo_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memo after a batch; a domain whose old memo is over its limit is forgotten."""
+    seen = _pages(spark, sf_dir).selectExpr("concat('www.site', page_id % 9, '.example.com') AS domain", "concat('http://new.test/', page_id) AS url")
+    return discover.remember(_memo(spark, sf_dir), seen, 13)
+
+
+MEMO_REMEMBER = f"""WITH m AS ({_MEMO}), full_ AS (SELECT domain FROM m GROUP BY domain HAVING count(*) > 13),
+b AS (SELECT * FROM m UNION SELECT concat('www.site', page_id % 9, '.example.com'), concat('http://new.test/', page_id) FROM pages) SELECT domain, url FROM b WHERE domain NOT IN (SELECT domain FROM full_)"""
+
+
+def memo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memo table written, updated and cleared for one domain."""
+    folder = _folder(spark)
+    all_ = _memo(spark, sf_dir)
+    memos.update(spark, folder, all_.where("domain < 'www.site5'"))
+    memos.update(spark, folder, all_)
+    memos.clear(spark, folder, "www.site3.example.com")
+    return memos.read(spark, folder)
+
+
+MEMO_TABLE = f"SELECT domain, url FROM ({_MEMO}) WHERE domain <> 'www.site3.example.com'"
+
+
+def memo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = discover.memo_name(F.concat(U.domain(F.col("url")), F.lit("/x/")))
+    return _pages(spark, sf_dir).select("page_id", name.alias("name"), discover.memo_domain(name).alias("domain"))
+
+
+MEMO_NAMES = "SELECT page_id, concat(d, '-x.txt') AS name, replace(concat(d, '/x'), '-', '/') AS domain FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS d FROM pages)"
+
+
+def category_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached rows that are fresh, and computed ones for the domains without."""
+    p = _pages(spark, sf_dir)
+    cache = p.selectExpr("concat('d', page_id % 30) AS domain", "concat('old', page_id) AS url", "timestamp'2024-01-02 00:00:00' - make_dt_interval(0, page_id % 30 * 2) AS computed_at")
+    return discover.cached(p.selectExpr("concat('d', page_id % 40) AS domain", "concat('new', page_id) AS url"), cache, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("domain", "url")
+
+
+CATEGORY_CACHE = """WITH f AS (SELECT concat('d', page_id % 30) AS domain, concat('old', page_id) AS url FROM pages WHERE page_id % 30 * 2 < 24)
+SELECT * FROM f UNION ALL SELECT concat('d', page_id % 40), concat('new', page_id) FROM pages WHERE concat('d', page_id % 40) NOT IN (SELECT domain FROM f)"""
+
+
+def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.trending_titles(_feeds(spark, sf_dir))
+
+
+TRENDING = "SELECT unnest([concat('T', page_id), concat('B', page_id)]) AS title FROM pages"
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.languages(spark)
+
+
+def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.popular_urls(spark)
+
+
+POPULAR = "SELECT concat('http://', unnest([" + ", ".join(f"'{s}'" for s in P.POPULAR) + "])) AS url"
+
+
+def _folder(spark: SparkSession) -> str:
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressmill-")
+    return f"{base}/run-{uuid.uuid4().hex}"
+
+
+_EVENT_URL = "concat('http://', event_type, '.example.com/news/story-', user_id)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    files = f"{path}/*.parquet" if "://" not in path and __import__("os").path.isdir(path) else f"{sf_dir}/events*.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(files).select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_URL).alias("url"))
+
+
+def _run(frame: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
+    """What a stream over all that there is gives; each batch replaces the last in complete mode."""
+    folder = _folder(spark)
+    writer = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address in the events once, through keyed state."""
+    return _run(streams.new_articles(_events(spark, sf_dir), delay="10000 days").select("domain", "url"), spark, "append")
+
+
+STREAM_NEW_ARTICLES = f"SELECT DISTINCT concat(event_type, '.example.com') AS domain, {_EVENT_URL} AS url FROM events"
+
+
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by window and domain."""
+    found = _run(streams.arrivals(_events(spark, sf_dir), window="1 day", delay="10 minutes"), spark, "complete")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "domain", F.col("count").alias("n"))
+
+
+STREAM_ARRIVALS = "SELECT strftime(ts, '%Y-%m-%d') AS day, concat(event_type, '.example.com') AS domain, count(*) AS n FROM events GROUP BY ALL"
+
+QUERIES = {
+    "site_sources": site_sources, "site_categories": site_categories, "site_common_feeds": site_common_feeds, "site_feeds": site_feeds, "site_category_articles": site_category_articles, "site_feed_articles": site_feed_articles, "site_unique": site_unique,
+    "site_new_articles": site_new_articles, "memo_remember": memo_remember, "memo_table": memo_table, "memo_names": memo_names, "category_cache": category_cache, "trending": trending, "languages": languages, "popular": popular,
+    "stream_new_articles": stream_new_articles, "stream_arrivals": stream_arrivals,
+}
+ORACLES = {
+    "site_sources": SITE_SOURCES, "site_categories": SITE_CATEGORIES, "site_common_feeds": SITE_COMMON_FEEDS, "site_feeds": SITE_FEEDS, "site_category_articles": SITE_CATEGORY_ARTICLES, "site_feed_articles": SITE_FEED_ARTICLES, "site_unique": SITE_UNIQUE,
+    "site_new_articles": SITE_NEW_ARTICLES, "memo_remember": MEMO_REMEMBER, "memo_table": MEMO_TABLE, "memo_names": MEMO_NAMES, "category_cache": CATEGORY_CACHE, "trending": TRENDING, "popular": POPULAR,
+    "stream_new_articles": STREAM_NEW_ARTICLES, "stream_arrivals": STREAM_ARRIVALS,
+}
