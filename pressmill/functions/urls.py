@@ -20,6 +20,11 @@ SUFFIXES = tuple("ac.uk co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar c
 DATE = r"([./\-_]?(?:19|20)\d{2})[./\-_]?(?:[0-3]?[0-9][./\-_]|\w{3,5}[./\-_])(?:[0-3]?[0-9][./\-]?)?"
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.get(F.transform(F.array(value), lambda x: fn(x)), F.lit(0))
+
+
 def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _PARTS, k)
 
@@ -56,20 +61,29 @@ def _suffix_size(labels: Column) -> Column:
 
 def site(url: Column) -> Column:
     """The registered name's label, without its suffix: 'example' of www.example.co.uk."""
-    labels = _labels(url)
+    return let(_labels(url), _site)
+
+
+def _site(labels: Column) -> Column:
     return F.coalesce(F.get(labels, F.size(labels) - _suffix_size(labels) - 1), F.when(F.size(labels) == 1, F.get(labels, F.lit(0))), F.lit(""))
 
 
 def subdomain(url: Column) -> Column:
     """What stands before the registered name."""
-    labels = _labels(url)
+    return let(_labels(url), _subdomain)
+
+
+def _subdomain(labels: Column) -> Column:
     n = F.size(labels) - _suffix_size(labels) - 1
     return F.when(n > 0, F.array_join(F.slice(labels, 1, F.greatest(n, F.lit(0))), ".")).otherwise("")
 
 
 def registered(url: Column) -> Column:
     """The registered name with its suffix."""
-    labels = _labels(url)
+    return let(_labels(url), _registered)
+
+
+def _registered(labels: Column) -> Column:
     n = F.least(_suffix_size(labels) + 1, F.size(labels))
     return F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
 
@@ -81,7 +95,10 @@ def chunks(url: Column) -> Column:
 
 def filetype(url: Column) -> Column:
     """What follows the last dot of the last piece, in lower case, if it has up to 5 characters or is a page type; null otherwise."""
-    last = F.get(chunks(url), F.size(chunks(url)) - 1)
+    return let(F.element_at(F.concat(F.array(F.lit("")), chunks(url)), -1), _filetype)
+
+
+def _filetype(last: Column) -> Column:
     end = F.regexp_extract(last, r"\.([^.]*)$", 1)
     return F.when(last.contains(".") & (end != "") & ((F.length(end) <= 5) | F.lower(end).isin(*PAGE_TYPES)), F.lower(end))
 
@@ -118,30 +135,42 @@ def valid_article_url(url: Column) -> Column:
     Yes for a last piece of more than four dashes or underscores that isn't the site's name; not for fewer than two
     pieces or a service path; yes for a date or a news path; otherwise not.
     """
-    first = F.filter(F.split(F.regexp_replace(path(url), "/$", ""), "/"), lambda c: c != "")
-    kind = filetype(url)
-    last = F.get(first, F.size(first) - 1)
-    dotted = F.split(last, r"\.")
-    named = F.when(F.size(first) > 0, F.concat(F.slice(first, 1, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.when(last.contains("."), F.get(dotted, F.size(dotted) - 2)).otherwise(last)))).otherwise(first)
-    at = F.array_position(named, "index").cast("int")
-    pieces = F.when(at > 0, F.concat(F.slice(named, 1, F.greatest(at - 1, F.lit(0))), F.slice(named, at + 1, F.size(named)))).otherwise(named)
-    slug = F.get(pieces, F.size(pieces) - 1)
+    place = F.struct(path(url).alias("path"), _labels(url).alias("labels"))
+    return let(place, lambda p: let(_named(p["path"]), lambda pieces: let(F.get(pieces, F.size(pieces) - 1), lambda slug: let(_site(p["labels"]), lambda label: _valid(url, p, pieces, slug, label)))))
+
+
+def _named(path_: Column) -> Column:
+    """The path's pieces, the last one without its type, and without the first that is 'index'."""
+
+    def named(first):
+        last = F.get(first, F.size(first) - 1)
+        dotted = F.split(last, r"\.")
+        return F.when(F.size(first) > 0, F.concat(F.slice(first, 1, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.when(last.contains("."), F.get(dotted, F.size(dotted) - 2)).otherwise(last)))).otherwise(first)
+
+    def without(pieces):
+        at = F.array_position(pieces, "index").cast("int")
+        return F.when(at > 0, F.concat(F.slice(pieces, 1, F.greatest(at - 1, F.lit(0))), F.slice(pieces, at + 1, F.size(pieces)))).otherwise(pieces)
+
+    return let(let(F.filter(F.split(F.regexp_replace(path_, "/$", ""), "/"), lambda c: c != ""), named), without)
+
+
+def _valid(url: Column, place: Column, pieces: Column, slug: Column, label: Column) -> Column:
+    kind = let(F.element_at(F.concat(F.array(F.lit("")), F.filter(F.split(place["path"], "/"), lambda c: c != "")), -1), _filetype)
     dashes = F.length(slug) - F.length(F.translate(slug, "-", ""))
     bars = F.length(slug) - F.length(F.translate(slug, "_", ""))
-    label = site(url)
     absent = lambda sep: ~F.exists(F.split(F.lower(slug), sep), lambda x: x == label)
     long = F.coalesce((dashes > 4) | (bars > 4), F.lit(False))
     inside = lambda words: F.exists(pieces, lambda c: c.isin(*words))
     return (
         F.when(url.isNull() | (F.length(url) < 11), False)
         .when(url.contains("mailto:") | ~(url.contains("http://") | url.contains("https://")), False)
-        .when(~path(url).startswith("/"), False)
-        .when(kind.isNotNull() & ~kind.isin(*PAGE_TYPES), False)
+        .when(~place["path"].startswith("/"), False)
+        .when(F.coalesce(~kind.isin(*PAGE_TYPES), F.lit(False)), False)
         .when(label.isin(*SERVICE_DOMAINS), False)
         .when(long & (dashes >= bars) & absent("-"), True)
         .when(long & (bars > dashes) & absent("_"), True)
         .when(F.size(pieces) <= 1, False)
-        .when(inside(SERVICE_PATHS) | subdomain(url).isin(*SERVICE_PATHS), False)
+        .when(inside(SERVICE_PATHS) | _subdomain(place["labels"]).isin(*SERVICE_PATHS), False)
         .when(url.rlike(DATE), True)
         .when(F.exists(pieces, lambda c: F.lower(c).isin(*NEWS_PATHS)), True)
         .otherwise(False)

@@ -29,18 +29,22 @@ def sources(frame: DataFrame, url: str = "url") -> DataFrame:
 
 def category_candidate(href: Column, source: Column) -> Column:
     """What a link gives as a category's address, before it is resolved; null for none."""
-    dom, path, scheme = urls.domain(href), urls.path(href), urls.scheme(href)
-    pieces = F.filter(F.split(path, "/"), lambda c: c != "")
-    at = F.array_position(pieces, "index.html").cast("int")
-    pieces = F.when(at > 0, F.concat(F.slice(pieces, 1, F.greatest(at - 1, F.lit(0))), F.slice(pieces, at + 1, F.size(pieces)))).otherwise(pieces)
-    labels = F.split(urls.subdomain(href), r"\.")
-    related = (urls.registered(href) == urls.registered(source)) | F.array_contains(labels, urls.site(source))
-    good_dom = related & ~urls.subdomain(href).isin(*SUBDOMAINS_OUT)
+    link = F.struct(urls.domain(href).alias("dom"), urls.path(href).alias("path"), urls.scheme(href).alias("scheme"), urls.subdomain(href).alias("sub"))
+    return urls.let(link, lambda p: urls.let(_candidate(p, href, source), lambda found: F.when(~F.lower(F.concat(urls.path(found), F.lit(" "), urls.subdomain(found))).rlike("|".join(w.replace("-", r"\-") for w in NO_CATEGORY)), found)))
+
+
+def _candidate(link: Column, href: Column, source: Column) -> Column:
+    dom, path, scheme, sub = (link[k] for k in ("dom", "path", "scheme", "sub"))
+
+    def pieces(found):
+        at = F.array_position(found, "index.html").cast("int")
+        return F.when(at > 0, F.concat(F.slice(found, 1, F.greatest(at - 1, F.lit(0))), F.slice(found, at + 1, F.size(found)))).otherwise(found)
+
+    short = urls.let(urls.let(F.filter(F.split(path, "/"), lambda c: c != ""), pieces), lambda p: (F.size(p) == 1) & (F.length(F.get(p, F.lit(0))) < 14))
+    related = (urls.registered(href) == urls.registered(source)) | F.array_contains(F.split(sub, r"\."), urls.site(source))
     whole = F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise("//"), dom)
     bad = ((dom == "") & (path == "")) | path.startswith("#") | ((scheme != "") & ~scheme.isin("http", "https"))
-    found = F.when(bad, None).when(dom != "", F.when(good_dom, whole)).when((F.size(pieces) == 1) & (F.length(F.get(pieces, F.lit(0))) < 14), path)
-    text = F.lower(F.concat(urls.path(found), F.lit(" "), urls.subdomain(found)))
-    return F.when(~text.rlike("|".join(w.replace("-", r"\-") for w in NO_CATEGORY)), found)
+    return F.when(bad, None).when(dom != "", F.when(related & ~sub.isin(*SUBDOMAINS_OUT), whole)).when(short, path)
 
 
 def category_urls(homes: DataFrame, url: str = "url", nodes: str = "nodes") -> DataFrame:
