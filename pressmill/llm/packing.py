@@ -43,10 +43,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack_group(doc_id: np.ndarray, order: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
-    """Row, first token, tokens, bin and offset of each piece; order breaks ties of length and id."""
+    """Row, first token, tokens, bin and offset of each piece; doc_id and order break ties, so that the rows' order doesn't matter."""
     whole, rest = tokens // capacity, tokens % capacity
-    full_row = np.repeat(np.arange(len(tokens)), whole)
-    full_first = (np.arange(len(full_row)) - np.repeat(np.cumsum(whole) - whole, whole)) * capacity
+    by_id = np.lexsort((order, doc_id))
+    each = whole[by_id]
+    full_row = np.repeat(by_id, each)
+    full_first = (np.arange(len(full_row)) - np.repeat(np.cumsum(each) - each, each)) * capacity
     some = np.flatnonzero(rest)
     some = some[np.lexsort((order[some], doc_id[some], -rest[some]))]
     bins, offsets = first_fit_decreasing(rest[some], capacity) if len(some) else (np.zeros(0, np.int32),) * 2
