@@ -115,11 +115,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
         best = np.where(trigrams > 0, best, -1)
         return arrow_names[best], np.where(trigrams > 0, top, 0), (best >= 0) & ((top >= MIN_COSINE) | (trigrams < MIN_TRIGRAMS))
 
-
-
-
-
-
     @F.pandas_udf("language string, cosine double, accepted boolean")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,5 +122,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             parts = [answer(texts[a + i : a + j]) for a in range(0, len(texts), 256) for i, j in slices(texts[a : a + 256])]
             yield pd.DataFrame({k: np.concatenate([p[n] for p in parts]) if parts else [] for n, k in enumerate(("language", "cosine", "accepted"))})
 
-    found = docs.withColumn("__pm_found", udf("text"))
+    # A filter on the answer would be pushed below it and ask for it twice.
+    found = docs.withColumn("__pm_found", udf.asNondeterministic()("text"))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"__pm_found.{k}").alias(f"__pm_{k}") for k in ("language", "cosine", "accepted")))
