@@ -1,4 +1,4 @@
-"""Queries over text and NLP operators, on documents.  A document's title is its first line."""
+"""Queries over text and NLP operators, on documents.  A document's title is its first line, cut as article titles are."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pressmill.functions import text as X
 from pressmill.functions.stopwords import ENGLISH, NEWS
 from pressmill.operators import article, nlp
+from pressmill.operators.config import Config
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.substring(F.substring_index("text", "\n", 1), 1, Config().max_title).alias("title"))
 
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
@@ -31,7 +32,7 @@ def doc_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nlp.with_keywords(_docs(spark, sf_dir)).select("doc_id", F.explode("keywords").alias("k")).select("doc_id", "k.word", "k.n", F.round("k.score", 9).alias("score"))
 
 
-_KEYWORDS = f"""w AS (SELECT doc_id, title, text, {_GLUED.format('text')} AS words FROM (SELECT *, string_split(text, chr(10))[1] AS title FROM documents)),
+_KEYWORDS = f"""w AS (SELECT doc_id, title, text, {_GLUED.format('text')} AS words FROM (SELECT *, left(string_split(text, chr(10))[1], 200) AS title FROM documents)),
 c AS (SELECT doc_id, total, word, count(*) AS n FROM (SELECT doc_id, len(words) AS total, unnest(words) AS word FROM w) WHERE NOT list_contains({_list(NEWS)}, word) GROUP BY ALL),
 k AS (SELECT doc_id, word, n, n / total * 1.5 + 1 AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(word) DESC) <= 10)"""
 DOC_KEYWORDS = f"WITH {_KEYWORDS} SELECT doc_id, word, n, round(score, 9) AS score FROM k"
@@ -95,7 +96,7 @@ def doc_valid_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", article.is_valid_body(F.col("text"), F.col("title"), url, F.col("text"), kind).alias("valid"))
 
 
-DOC_VALID_BODY = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS title, len(string_split(text, ' ')) AS words FROM documents)
+DOC_VALID_BODY = """WITH d AS (SELECT doc_id, text, left(string_split(text, chr(10))[1], 200) AS title, len(string_split(text, ' ')) AS words FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND words > 300 THEN true WHEN doc_id % 7 <> 0 AND text = '' THEN false WHEN len(string_split(title, ' ')) < 2 THEN false WHEN words < 300 THEN false
  WHEN len(string_split(text, '.')) < 7 THEN false WHEN text = '' THEN false ELSE true END AS valid FROM d"""
 
