@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions.stopwords import NEWS, stopwords
 from pressmill.functions.text import sentences, words_apart, words_glued
+from pressmill.functions.urls import let
 
 TOP_KEYWORDS, IDEAL_WORDS = 10, 20.0
 #: Score of a sentence's place in the text: up to this share of it.
@@ -88,8 +89,7 @@ def density_score(keywords: Column, words: Column) -> Column:
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.cast("double").alias("i"), _value(keywords, w).alias("v"), w.alias("w"))), lambda h: h["v"].isNotNull())
     start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("i"), F.lit(None).cast("double").alias("v"), F.array().cast("array<string>").alias("seen"))
     end = F.aggregate(hits, start, lambda a, h: F.struct((a["s"] + F.coalesce(a["v"] * h["v"] / F.pow(h["i"] - a["i"], 2), F.lit(0.0))).alias("s"), h["i"].alias("i"), h["v"].alias("v"), F.array_union(a["seen"], F.array(h["w"])).alias("seen")))
-    k = F.size(end["seen"]) + 1
-    return F.when(F.size(words) > 0, end["s"] / (k * (k + 1))).otherwise(0.0)
+    return F.when(F.size(words) > 0, let(end, lambda e: e["s"] / ((F.size(e["seen"]) + 1) * (F.size(e["seen"]) + 2)))).otherwise(0.0)
 
 
 def with_sentence_scores(docs: DataFrame, text: str = "text", title: str = "title", keywords: str = "keywords", language: str = "en") -> DataFrame:

@@ -9,10 +9,11 @@ from pressmill.functions import text as X
 from pressmill.functions.stopwords import ENGLISH, NEWS
 from pressmill.operators import article, nlp
 from pressmill.operators.config import Config
+from pressmill.sources.pages import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.substring(F.substring_index("text", "\n", 1), 1, Config().max_title).alias("title"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "text", F.substring(F.substring_index("text", "\n", 1), 1, Config().max_title).alias("title"))
 
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"

@@ -24,7 +24,7 @@ def _pages(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
-    return dom.parse_dom(_pages(spark, sf_dir, rich))
+    return dom.parse_dom(P.spread(_pages(spark, sf_dir, rich)))
 
 
 _CHARS = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
@@ -176,7 +176,7 @@ PAGE_KNOWN_TEXT = """SELECT page_id, concat('It was the first of all days in ',
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as articles, with everything that is extracted and computed."""
-    rows = article.build(_pages(spark, sf_dir, True))
+    rows = article.build(P.spread(_pages(spark, sf_dir, True)))
     lists = ("authors", "meta_keywords", "tags", "imgs", "movies", "keywords")
     return rows.drop("html", "meta_data").withColumns({c: F.array_join(c, "|") for c in lists})
 

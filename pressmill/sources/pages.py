@@ -15,6 +15,12 @@ from pressmill.operators.config import Config
 _CHARSET = re.compile(rb"""<meta[^>]+charset=["']?\s*([A-Za-z0-9_\-]+)""", re.IGNORECASE)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame over more tasks where its files are too few to keep all cores busy (a file of one row group is one task's); as it is otherwise, so that a large table isn't shuffled."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(2 * cores) if len(frame.inputFiles()) < cores else frame
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """url (file:...) and html of each file, decoded."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), to_unicode(F.col("content")).alias("html"))
