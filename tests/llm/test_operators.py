@@ -151,6 +151,23 @@ def test_edited_passages_are_found_and_cut(spark):
     assert set(own[1]) <= set(words(out[1])) and len(set(words(out[1])) & set(edited)) <= 4
 
 
+def test_edited_copies_of_a_hot_passage_are_found(spark):
+    # Copies differ from each other, so that their min-hashes occur first in different documents.
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    passage = [word() for _ in range(60)]
+    copies = []
+    for _ in range(150):
+        c = list(passage)
+        for at in random.sample(range(60), 5):
+            c[at] = word()
+        copies.append(c)
+    rows = [(i, " ".join([word() for _ in range(40)] + c + [word() for _ in range(40)])) for i, c in enumerate(copies)]
+    want = {i for i, c in enumerate(copies) if any(sum(x == y for x, y in zip(c, d, strict=True)) >= 0.85 * 60 for d in copies[:i])}
+    found = {r.doc_id for r in substrings.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) > 100 and len(want & found) >= 0.95 * len(want)
+
+
 # 4 --------------------------------------------------------------------------------------------------------------
 
 
