@@ -314,6 +314,18 @@ def test_chance_matches_dont_hide_pairs():
     assert (499, 0) in set(zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_rows_near_on_64_bits_alone_dont_hide_pairs(spark):
+    # All rows are near on the first 64 bits and share a segment there; only rows 3 and 9 are near on all bits, and share no other segment.
+    rng = np.random.default_rng(4)
+    f = rng.integers(0, 1 << 62, (12, 3))
+    f[:, 0] = 1 << np.arange(12)
+    f[9, 1:] = f[3, 1:]
+    f[9].view(np.uint8)[6::3] ^= 3
+    node = simhash.nodes_of(f)
+    nodes = spark.createDataFrame([(int(n), *map(int, x)) for n, x in zip(node, f, strict=True)], "node bigint, f0 bigint, f1 bigint, f2 bigint")
+    assert [{r.a, r.b} for r in simhash.links(nodes).collect()] == [{int(node[3]), int(node[9])}]
+
+
 # 8 --------------------------------------------------------------------------------------------------------------
 
 
