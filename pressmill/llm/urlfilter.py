@@ -10,13 +10,15 @@ and of the same host prefix were bad.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.llm.storage import keep
 from pressmill.llm.text import code_points, map_texts
 
 SEEDS = ("casino", "pills", "adult", "bets", "spam", "ads")
-#: The trees are fitted on at most so many labelled URLs, those of least hash; statistics of suffixes come from the same sample.
+#: The trees are fitted on at most so many labelled URLs, those of least hash; statistics of suffixes and prefixes come from all of them.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTHING = 60, 3, 32, 0.2, 20.0
 FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "digits", "hyphens", "host_hyphens", "dots", "entropy", "host_entropy", "parameters", "escapes", "secure", "suffix_rate", "prefix_rate")
@@ -133,43 +135,54 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-class Filter:
-    """Suffix statistics and trees, from labelled URLs."""
+def _with_ends(rows: DataFrame) -> DataFrame:
+    @F.pandas_udf("suffix string, prefix string")
+    def ends(url: pd.Series) -> pd.DataFrame:
+        suffix, prefix = _ends(url.fillna("").tolist())
+        return pd.DataFrame({"suffix": suffix, "prefix": prefix})
 
-    def __init__(self, urls: list[str], labels: list[int]):
-        y = np.array(labels, float)
-        self.prior = float(y.mean()) if len(y) else 0.0
-        self.rates = []
-        for ends in _ends(urls):
-            total: dict[str, list[float]] = {}
-            for e, v in zip(ends, labels, strict=True):
-                t = total.setdefault(e, [0.0, 0.0])
-                t[0] += v
-                t[1] += 1
-            self.rates.append({e: (a + SMOOTHING * self.prior) / (n + SMOOTHING) for e, (a, n) in total.items()})
-        self.trees = Trees(self.features(urls), y)
+    return rows.withColumn("ends", ends("url")).select(*rows.columns, "ends.suffix", "ends.prefix")
 
-    def features(self, urls: list[str]) -> np.ndarray:
-        return features(urls, *self.rates, self.prior)
 
-    def predict(self, urls: list[str]) -> np.ndarray:
-        return np.round(self.trees.predict(self.features(urls)), 6)
+class Filter:
+    """Statistics of all labelled URLs' suffixes and prefixes, as tables, and trees fitted on a sample; rows: distinct url and y (0 or 1)."""
+
+    def __init__(self, rows: DataFrame):
+        rows = keep(_with_ends(rows))
+        self.prior = float(rows.agg(F.avg("y")).first()[0] or 0.0)
+        rate = (F.sum("y") + SMOOTHING * self.prior) / (F.count("*") + SMOOTHING)
+        self.rates = {end: keep(rows.groupBy(end).agg(rate.alias(f"{end}_rate"))) for end in ("suffix", "prefix")}
+        sample = self.rated(rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE)).orderBy(F.xxhash64("url"), "url", "y").collect()
+        urls = [r.url for r in sample]
+        self.trees = Trees(rated_features(urls, [r.suffix_rate for r in sample], [r.prefix_rate for r in sample], self.prior), np.array([r.y for r in sample], float))
+
+    def rated(self, rows: DataFrame) -> DataFrame:
+        """rows with suffix and prefix, and their suffix_rate and prefix_rate: the prior where no labelled URL has them."""
+        for end, rates in self.rates.items():
+            rows = rows.join(rates, end, "left").withColumn(f"{end}_rate", F.coalesce(f"{end}_rate", F.lit(self.prior)))
+        return rows
+
+
+def rated_features(urls: list[str], suffix_rates: list[float], prefix_rates: list[float], prior: float) -> np.ndarray:
+    """The features of URLs, given the rates of each one's suffix and prefix."""
+    suffix, prefix = _ends(urls)
+    return features(urls, dict(zip(suffix, suffix_rates, strict=True)), dict(zip(prefix, prefix_rates, strict=True)), prior)
 
 
 def train(pages: DataFrame, label: Column | None = None) -> Filter:
     """A filter from pages' labelled URLs (label: 0, 1 or null, by default the seed list's).  Null URLs teach nothing; no labels, or only one kind, give their share for every URL."""
-    rows = pages.select("url", (seed_label(F.col("url")) if label is None else label).alias("y")).where("url is not null and y is not null").distinct()
-    sample = rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()
-    return Filter([r.url for r in sample], [int(r.y) for r in sample])
+    return Filter(pages.select("url", (seed_label(F.col("url")) if label is None else label).alias("y")).where("url is not null and y is not null").distinct())
 
 
 def score(pages: DataFrame, model: Filter) -> DataFrame:
     """page_id, url, bad (the probability) and accepted (below 0.5) of each row.  A null or empty URL has bad null and isn't accepted."""
-    handle = pages.sparkSession.sparkContext.broadcast(model)
+    handle = pages.sparkSession.sparkContext.broadcast((model.trees, model.prior))
 
     def run(texts, part):
-        bad = handle.value.predict(texts)
+        trees, prior = handle.value
+        bad = np.round(trees.predict(rated_features(texts, part.column("suffix_rate").to_pylist(), part.column("prefix_rate").to_pylist(), prior)), 6)
         some = np.array([bool(t) for t in texts])
         yield {"page_id": part.column("page_id"), "url": part.column("text"), "bad": [x if s else None for x, s in zip(bad.tolist(), some, strict=True)], "accepted": (bad < 0.5) & some}
 
-    return map_texts(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("text")), run, "page_id bigint, url string, bad double, accepted boolean")
+    rows = model.rated(_with_ends(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")))
+    return map_texts(rows.select("page_id", F.col("url").alias("text"), "suffix_rate", "prefix_rate"), run, "page_id bigint, url string, bad double, accepted boolean")

@@ -185,6 +185,16 @@ def test_op4_held_out_accuracy(spark, sf_dir):
     assert queries.op4_url_filter(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_url_statistics_are_those_of_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "SAMPLE", 20)
+    rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.x.t{i % 40}/{i}") for i in range(400)]
+    model = urlfilter.train(spark.createDataFrame(rows, "page_id bigint, url string"))
+    y = [int(i % 3 == 0) for i in range(400)]
+    prior = sum(y) / 400
+    found = {r.suffix: r.suffix_rate for r in model.rates["suffix"].collect()}
+    assert found == {f"t{k}": pytest.approx((sum(y[k::40]) + urlfilter.SMOOTHING * prior) / (10 + urlfilter.SMOOTHING)) for k in range(40)}
+
+
 def test_url_features():
     f = dict(zip(urlfilter.FEATURES, urlfilter.features(["https://a-b.example.com/x1/y?k=v&l=%20", ""], {"com": 0.25}, {}, 0.5)[0], strict=True))
     assert (f["length"], f["host_length"], f["depth"], f["parameters"], f["escapes"], f["secure"], f["host_hyphens"], f["dots"]) == (38, 15, 2, 2, 1, 1, 1, 2)
