@@ -138,6 +138,37 @@ def test_compact_windows_are_those_of_the_plain_version():
     assert want <= got and all(h[c] == h[l : r + 1].min() for l, c, r in got)
 
 
+def test_joint_keys_are_those_of_the_plain_version():
+    rng = np.random.default_rng(4)
+    # Two texts, one of which repeats itself, as windows() has them.
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 300)), " ".join(f"w{x}" for x in np.tile(rng.integers(0, 9, 7), 40))]
+    w = substrings.Words(texts)
+    sh, _ = substrings.shingles(w, substrings.SHINGLE)
+    ks, ws, owners, want = [], [], [], set()
+    for t in range(2):
+        lo, hi = int(w.bounds[t]), int(w.bounds[t + 1]) - substrings.SHINGLE + 1
+        own, n = sh[lo:hi], hi - lo
+        hashes = [substrings.mix(own + np.uint64(0x51ED270B * (f + 1))) for f in range(substrings.FUNCTIONS)]
+        for f, key in enumerate(hashes):
+            l, c, r = substrings.compact_windows((key >> np.uint64(32)).astype(np.uint32), np.zeros(n, int), np.array([0]), np.array([n - 1]))  # noqa: E741
+            stay, early = substrings._thinned(key[c] >> np.uint64(32), np.zeros(len(c), int), c, np.minimum(c - l, substrings._WIDTH - 1))
+            late = np.maximum(0, substrings._WIDTH - 1 - (r - c))
+            c, early, late = c[stay], early[stay], late[stay]
+            ks.append(key[c].view(np.int64))
+            ws.append((np.uint64(f) << np.uint64(62) | c.astype(np.uint64) << np.uint64(12) | early.astype(np.uint64) << np.uint64(6) | late.astype(np.uint64)).view(np.int64))
+            owners.append(np.full(len(c), t))
+        for s in range(n - substrings._WIDTH + 1):
+            least = [min(h[s : s + substrings._WIDTH].tolist(), key=lambda x: x >> 32) for h in hashes]
+            for i, functions in enumerate(substrings.SETS):
+                key = np.array([i + 1], np.uint64)
+                for f in functions:
+                    key = substrings.mix(key + np.uint64(least[f]))
+                want.add((t, int(key.view(np.int64)[0])))
+    kk, owner, p = substrings.joined(np.concatenate(ks), np.concatenate(ws), np.concatenate(owners))
+    assert set(zip(owner.tolist(), kk.tolist(), strict=True)) == want
+    assert len(ks[0]) + len(ks[4]) < 100  # also in the text that repeats itself
+
+
 def test_edited_passages_are_found_and_cut(spark):
     random.seed(5)
     word = lambda: "".join(random.choices("abcdefghij", k=7))
