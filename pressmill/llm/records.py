@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm.bpe import VOCABULARY, encoder
-from pressmill.llm.storage import shared_dir
+from pressmill.llm.storage import file_system, shared_dir
 from pressmill.llm.text import slices, small_batches
 
 _BLOCK = 256
@@ -91,19 +91,11 @@ def frame(data: list[bytes]) -> list[bytes]:
     return [struct.pack("<QI", len(d), x) + d + struct.pack("<I", y) for d, x, y in zip(data, a.tolist(), b.tolist(), strict=True)]
 
 
-def _file_system(folder: str):
-    from pyarrow import fs
-
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder)
-
-
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Writes a record for each row of docs when the result is computed: doc_id, file, record, record_offset, length (of the data, in bytes) and tokens.
 
-    A null text is written like an empty one, as a record without tokens; equal rows give a record each; an empty
-    table gives no rows.  Whoever keeps the result should write it: it is the index, and computing it again writes anew.
+    A null text is written like an empty one, as a record without tokens; equal rows give a record each; a text may be of any length; an empty
+    table gives no rows; records are in the table's order, so that there are no ties.  Whoever keeps the result should write it: it is the index, and computing it again writes anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +103,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         e = encoder(vocabulary)
         kind = np.dtype("<u2" if e.size <= 1 << 16 else "<u4")
-        system, root = _file_system(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         out, at, offsets = None, 0, []
         for batch in batches:
@@ -154,7 +146,7 @@ def read(index: DataFrame, folder: str, seed: int | None = None, width: int = 2)
     rows = rows.repartition("file").sortWithinPartitions("file", "record_offset") if seed is None else rows.orderBy(F.rand(seed))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = _file_system(folder)
+        system, root = file_system(folder)
         opened: dict = {}
         for part in parts:
             data = []

@@ -51,6 +51,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
+def file_system(folder: str):
+    """pyarrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    if "://" not in folder and not folder.startswith("file:"):
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(folder)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have (in any case), one for each of names."""
     taken = {c.lower() for c in df.columns}
