@@ -1,10 +1,9 @@
 """A URL filter: gradient-boosted trees on lexical features.
 
-Labelled URLs are those of a seed list: a host is bad if one of its name's
-parts is in SEEDS (a stand-in for public block lists), and good otherwise.  The
-trees never see the words, only lengths, depths, shares of characters, entropy,
-counts of parameters, and how often labelled URLs of the same top-level domain
-and of the same host prefix were bad.
+Labels come with the URLs (a column, or a table of labelled URLs).  Where there are none a seed list stands in for
+public block lists: a host is bad if one of its name's parts is in SEEDS, and good otherwise.  The
+trees see lengths, depths, shares of characters, entropy, counts of parameters, and how often labelled URLs of the same top-level domain
+were bad; no part of the host's name, and for a URL that they are fitted on its own label isn't counted in that rate.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from pressmill.llm.storage import keep
 from pressmill.llm.text import code_points, map_texts
 
 SEEDS = ("casino", "pills", "adult", "bets", "spam", "ads")
-#: The trees are fitted on at most so many labelled URLs, those of least hash; statistics of suffixes and prefixes come from all of them.
+#: The trees are fitted on at most so many labelled URLs, those of least hash (an argument of train); statistics of suffixes come from all of them.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTHING = 60, 3, 32, 0.2, 20.0
-FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "digits", "hyphens", "host_hyphens", "dots", "entropy", "host_entropy", "parameters", "escapes", "secure", "suffix_rate", "prefix_rate")
+FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "digits", "hyphens", "host_hyphens", "dots", "entropy", "host_entropy", "parameters", "escapes", "secure", "labels", "vowels", "suffix_rate")
 
 
 def seed_label(url: Column) -> Column:
@@ -30,14 +29,8 @@ def seed_label(url: Column) -> Column:
     return F.when(host != "", F.arrays_overlap(F.split(host, r"[.\-:@]"), F.array(*map(F.lit, SEEDS))).cast("int"))
 
 
-def _ends(urls: list[str]) -> tuple[list[str], list[str]]:
-    suffix, prefix = [], []
-    for u in urls:
-        host = u.partition("://")[2].partition("/")[0].partition("?")[0].partition("#")[0].lower()
-        labels = host.split(".")
-        suffix.append(labels[-1])
-        prefix.append(labels[0] if len(labels) > 2 else "")
-    return suffix, prefix
+def _suffixes(urls: list[str]) -> list[str]:
+    return [u.partition("://")[2].partition("/")[0].partition("?")[0].partition("#")[0].lower().rpartition(".")[2] for u in urls]
 
 
 def _entropy(owner: np.ndarray, points: np.ndarray, n: int) -> np.ndarray:
@@ -48,8 +41,8 @@ def _entropy(owner: np.ndarray, points: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(own, -p * np.log2(p), n)
 
 
-def features(urls: list[str], suffix_rate: dict[str, float], prefix_rate: dict[str, float], prior: float) -> np.ndarray:
-    """(n, 16) features in the order of FEATURES."""
+def features(urls: list[str], suffix_rate: list[float]) -> np.ndarray:
+    """(n, 17) features in the order of FEATURES, given the rate of each URL's suffix."""
     n = len(urls)
     points, starts, lens = code_points(urls)
     points = points.astype(np.int64)
@@ -70,11 +63,11 @@ def features(urls: list[str], suffix_rate: dict[str, float], prefix_rate: dict[s
     count = lambda m: np.bincount(owner[m], minlength=n).astype(float)
     digit, hyphen = (points >= 48) & (points <= 57), points == 45
     size = np.maximum(lens, 1)
-    suffix, prefix = _ends(urls)
+    vowel = np.isin(points | 32, [97, 101, 105, 111, 117])
     return np.stack([
         lens.astype(float), (b - a).astype(float), (q - b).astype(float), (lens - q).astype(float), count(path & (points == 47)), count(real & digit) / size, count(real & hyphen), count(host & hyphen), count(host & (points == 46)),
         _entropy(owner[real], points[real], n), _entropy(owner[host], points[host], n), count(query & (points == 61)), count(real & (points == 37)), np.array([float(u.startswith("https")) for u in urls]),
-        np.array([suffix_rate.get(s, prior) for s in suffix]), np.array([prefix_rate.get(s, prior) for s in prefix]),
+        count(host & ((points == 46) | (points == 45))) + 1, count(host & vowel) / np.maximum(b - a, 1), np.asarray(suffix_rate, float),
     ], axis=1).reshape(n, len(FEATURES))
 
 
@@ -135,54 +128,55 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def _with_ends(rows: DataFrame) -> DataFrame:
-    @F.pandas_udf("suffix string, prefix string")
-    def ends(url: pd.Series) -> pd.DataFrame:
-        suffix, prefix = _ends(url.fillna("").tolist())
-        return pd.DataFrame({"suffix": suffix, "prefix": prefix})
+def _with_suffix(rows: DataFrame) -> DataFrame:
+    @F.pandas_udf("string")
+    def suffix(url: pd.Series) -> pd.Series:
+        return pd.Series(_suffixes(url.fillna("").tolist()))
 
-    return rows.withColumn("ends", ends("url")).select(*rows.columns, "ends.suffix", "ends.prefix")
+    return rows.withColumn("suffix", suffix("url"))
 
 
 class Filter:
-    """Statistics of all labelled URLs' suffixes and prefixes, as tables, and trees fitted on a sample; rows: distinct url and y (0 or 1)."""
-
-    def __init__(self, rows: DataFrame):
-        rows = keep(_with_ends(rows))
-        self.prior = float(rows.agg(F.avg("y")).first()[0] or 0.0)
-        rate = (F.sum("y") + SMOOTHING * self.prior) / (F.count("*") + SMOOTHING)
-        self.rates = {end: keep(rows.groupBy(end).agg(rate.alias(f"{end}_rate"))) for end in ("suffix", "prefix")}
-        sample = self.rated(rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE)).orderBy(F.xxhash64("url"), "url", "y").collect()
-        urls = [r.url for r in sample]
-        self.trees = Trees(rated_features(urls, [r.suffix_rate for r in sample], [r.prefix_rate for r in sample], self.prior), np.array([r.y for r in sample], float))
+    """Statistics of all labelled URLs' suffixes, as a table, and trees fitted on a sample; rows: distinct url and y (0 or 1)."""
+
+    def __init__(self, rows: DataFrame, sample: int = SAMPLE):
+        rows = keep(_with_suffix(rows))
+        n, good = rows.agg(F.count("*"), F.avg("y")).first()
+        self.prior = float(good or 0.0)
+        self.rates = keep(rows.groupBy("suffix").agg(F.sum("y").alias("bad"), F.count("*").alias("n")))
+        # The least hashes: all but a few of the URLs that can't be among them are left out before the sort, so that no task sends many.
+        share = min(1.0, (sample + 6 * sample**0.5 + 60) / max(n, 1))
+        few = rows.where(F.xxhash64("url") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy(F.xxhash64("url"), "url").limit(sample)
+        # A URL's own label doesn't count in the rate that the trees are shown for it.
+        rate = (F.col("bad") - F.col("y") + SMOOTHING * self.prior) / (F.col("n") - 1 + SMOOTHING)
+        found = few.join(self.rates, "suffix").select("url", "y", rate.alias("rate")).orderBy(F.xxhash64("url"), "url", "y").collect()
+        self.trees = Trees(features([r.url for r in found], [r.rate for r in found]), np.array([r.y for r in found], float))
 
     def rated(self, rows: DataFrame) -> DataFrame:
-        """rows with suffix and prefix, and their suffix_rate and prefix_rate: the prior where no labelled URL has them."""
-        for end, rates in self.rates.items():
-            rows = rows.join(rates, end, "left").withColumn(f"{end}_rate", F.coalesce(f"{end}_rate", F.lit(self.prior)))
-        return rows
+        """rows with the suffix_rate of their suffix: the prior where no labelled URL has it."""
+        rate = (F.col("bad") + SMOOTHING * self.prior) / (F.col("n") + SMOOTHING)
+        return rows.join(self.rates.select("suffix", rate.alias("suffix_rate")), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.prior)))
 
 
-def rated_features(urls: list[str], suffix_rates: list[float], prefix_rates: list[float], prior: float) -> np.ndarray:
-    """The features of URLs, given the rates of each one's suffix and prefix."""
-    suffix, prefix = _ends(urls)
-    return features(urls, dict(zip(suffix, suffix_rates, strict=True)), dict(zip(prefix, prefix_rates, strict=True)), prior)
+def train(pages: DataFrame, label: Column | None = None, sample: int = SAMPLE) -> Filter:
+    """A filter from pages' labelled URLs (label: a column or expression of pages that is 0, 1 or null, by default the seed list's); the trees are fitted on at most sample of them.
 
-
-def train(pages: DataFrame, label: Column | None = None) -> Filter:
-    """A filter from pages' labelled URLs (label: 0, 1 or null, by default the seed list's).  Null URLs teach nothing; no labels, or only one kind, give their share for every URL."""
-    return Filter(pages.select("url", (seed_label(F.col("url")) if label is None else label).alias("y")).where("url is not null and y is not null").distinct())
+    Null URLs teach nothing; repeated rows count once; a URL with both labels counts as one of each; no labels, or only one kind, give their share for every URL.
+    """
+    return Filter(pages.select("url", (seed_label(F.col("url")) if label is None else label).cast("int").alias("y")).where("url is not null and y is not null").distinct(), sample)
 
 
 def score(pages: DataFrame, model: Filter) -> DataFrame:
-    """page_id, url, bad (the probability) and accepted (below 0.5) of each row.  A null or empty URL has bad null and isn't accepted."""
-    handle = pages.sparkSession.sparkContext.broadcast((model.trees, model.prior))
+    """page_id, url, bad (the probability) and accepted (below 0.5) of each row.
+
+    A null or empty URL has bad null and isn't accepted.  Repeated rows have a row each; URLs may be of any length; equal URLs score alike; no rows give none.
+    """
+    handle = pages.sparkSession.sparkContext.broadcast(model.trees)
 
     def run(texts, part):
-        trees, prior = handle.value
-        bad = np.round(trees.predict(rated_features(texts, part.column("suffix_rate").to_pylist(), part.column("prefix_rate").to_pylist(), prior)), 6)
+        bad = np.round(handle.value.predict(features(texts, part.column("suffix_rate").to_pylist())), 6)
         some = np.array([bool(t) for t in texts])
         yield {"page_id": part.column("page_id"), "url": part.column("text"), "bad": [x if s else None for x, s in zip(bad.tolist(), some, strict=True)], "accepted": (bad < 0.5) & some}
 
-    rows = model.rated(_with_ends(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")))
-    return map_texts(rows.select("page_id", F.col("url").alias("text"), "suffix_rate", "prefix_rate"), run, "page_id bigint, url string, bad double, accepted boolean")
+    rows = model.rated(_with_suffix(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")))
+    return map_texts(rows.select("page_id", F.col("url").alias("text"), "suffix_rate"), run, "page_id bigint, url string, bad double, accepted boolean")
