@@ -1,11 +1,11 @@
 """A quality classifier from weak labels.
 
-Seven heuristic labellers vote good (1), bad (0) or abstain on each document;
+Nine heuristic labellers vote good (1), bad (0) or abstain on each document;
 they overlap and err.  Expectation-maximisation over the counts of vote
-patterns (3^7 at most, whatever the corpus) estimates each labeller's chances
+patterns (3^9 at most, whatever the corpus) estimates each labeller's chances
 of each vote on good and on bad documents and the share of good ones, and so the posterior
-of each pattern.  These posteriors train a linear scorer over hashed character
-trigrams, which then judges every document.
+of each pattern.  These posteriors train a linear scorer over hashed features (character
+trigrams, and a few shares of the text, each hashed with the tenth it lies in), which then judges every document.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.text import Words, distinct, lists, map_texts, mix, shingles
 
-#: The scorer is fitted on at most so many documents, those of least hash; the label model counts all.
+#: The scorer is fitted on at most so many documents, those of least hash (an argument of train); the label model counts all.
 SAMPLE = 4000
 DIMENSIONS = 1 << 14
 ROUNDS, STEP = 150, 0.3
-LABELLERS = ("symbols", "capitals", "runs", "repeats", "length", "prose", "variety")
+LABELLERS = ("symbols", "capitals", "runs", "repeats", "length", "prose", "variety", "separators", "small_words")
 
 
-def votes(texts: list[str]) -> np.ndarray:
-    """(n, 7) votes: 1 good, 0 bad, 2 abstains."""
+def shares(texts: list[str]) -> dict[str, np.ndarray]:
+    """What the labellers and the scorer look at: for each text how many words and runs of 5 words it has, and shares and means of them."""
     w = Words(texts)
     n = len(texts)
     owner = np.repeat(np.arange(n), w.lens + 1)
@@ -34,31 +34,52 @@ def votes(texts: list[str]) -> np.ndarray:
     words = np.diff(w.bounds)
     text_of = w.owner()
     inside = np.bincount(text_of, w.end - w.begin, n)
-    space = per((p == 32) | (p == 10) | (p == 9) | (p == 13))
+    blank = (p == 32) | (p == 10) | (p == 9) | (p == 13) | (p == 0)
+    space = per(blank) - 1
     upper = per((p >= 65) & (p <= 90))
     lower = per((p >= 97) & (p <= 122))
     stops = per((p == 46) | (p == 33) | (p == 63))
+    # Marks with white space on both sides.
+    gap = np.append(True, np.append(blank, True))
+    alone = np.flatnonzero(gap[:-2] & ~blank & gap[2:])
+    word_at = np.zeros(len(p) + 1, np.int8)
+    word_at[w.begin] = 1
+    alone = np.bincount(owner[alone[word_at[alone] == 0]], minlength=n)
     many = np.maximum(words, 1)
-    symbols = (w.lens - inside - space) / np.maximum(w.lens, 1)
-    capitals = upper / np.maximum(upper + lower, 1)
     same = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (text_of[1:] == text_of[:-1]))
-    runs = np.bincount(text_of[same], minlength=n) / many
     sh, ok = shingles(w, 5)
     total = np.bincount(text_of[: len(sh)][ok], minlength=n)
     own, _ = distinct(text_of[: len(sh)][ok], sh[ok])
-    repeats = 1 - np.bincount(own, minlength=n) / np.maximum(total, 1)
-    length = inside / many
-    out = np.full((n, 7), 2, np.int64)
-    some = words > 0
-    never = np.zeros(n, bool)
+    return {
+        "words": words,
+        "total": total,
+        "symbols": (w.lens - inside - space) / np.maximum(w.lens, 1),
+        "capitals": upper / np.maximum(upper + lower, 1),
+        "runs": np.bincount(text_of[same], minlength=n) / many,
+        "repeats": np.where(total > 0, 1 - np.bincount(own, minlength=n) / np.maximum(total, 1), 0),
+        "length": inside / many,
+        "stops": stops / many,
+        "separators": alone / many,
+        "small_words": np.bincount(text_of[w.end - w.begin <= 3], minlength=n) / many,
+    }
+
+
+def votes(texts: list[str]) -> np.ndarray:
+    """(n, 9) votes: 1 good, 0 bad, 2 abstains."""
+    s = shares(texts)
+    words, some = s["words"], s["words"] > 0
+    out = np.full((len(texts), len(LABELLERS)), 2, np.int64)
+    never = np.zeros(len(texts), bool)
     for k, (good, bad) in enumerate((
-        (never, symbols > 0.12),
-        (never, capitals > 0.5),
-        (never, runs > 0.2),
-        (never, repeats > 0.5),
+        (never, (s["symbols"] > 0.12) & (words >= 8)),
+        (never, s["capitals"] > 0.5),
+        (never, s["runs"] > 0.2),
+        (never, s["repeats"] > 0.5),
         (words >= 40, words < 2),
-        ((stops / many < 0.25) & (stops > 0) & (symbols < 0.08) & (capitals < 0.3), stops / many > 0.6),
-        ((runs < 0.03) & (repeats < 0.1) & (total > 0), (length <= 2) | (length > 16)),
+        ((s["stops"] < 0.5) & (s["stops"] > 0) & (s["symbols"] < 0.1) & (s["capitals"] < 0.3), (s["stops"] > 0.7) & (words >= 8)),
+        ((s["runs"] < 0.03) & (s["repeats"] < 0.1) & (s["total"] > 0), (s["length"] <= 2) | (s["length"] > 16)),
+        (never, s["separators"] > 0.25),
+        (s["small_words"] > 0.2, (s["small_words"] < 0.04) & (words >= 10)),
     )):
         out[good & some, k] = 1
         out[bad & some, k] = 0
@@ -125,11 +146,29 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, lens
 
 
-def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The scorer's probabilities that texts are good; without a trigram the bias alone."""
+_TENTHS = ("symbols", "capitals", "runs", "repeats", "stops", "separators", "small_words")
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hashed index and value of the scorer's features, distinct and in order: the share of each trigram, and for each of _TENTHS which tenth it lies in."""
     h, owner = trigrams(texts)
-    n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-    z = np.bincount(owner, weights[h], len(texts)) / n + bias
+    n = len(texts)
+    key, count = np.unique(owner * DIMENSIONS + h, return_counts=True)
+    own = key // DIMENSIONS
+    value = count / np.maximum(np.bincount(own, count, n), 1)[own]
+    found = shares(texts)
+    tenth = np.stack([np.clip(found[k] * 10, 0, 10).astype(np.uint64) for k in _TENTHS], 1) + np.arange(len(_TENTHS), dtype=np.uint64) * np.uint64(11)
+    extra = (mix(tenth + np.uint64(1 << 40)) >> np.uint64(50)).astype(np.int64)
+    key = np.append(key, (np.arange(n)[:, None] * DIMENSIONS + extra).ravel())
+    value = np.append(value, np.full(n * len(_TENTHS), 0.1))
+    order = np.argsort(key, kind="stable")
+    return key[order] // DIMENSIONS, key[order] % DIMENSIONS, value[order]
+
+
+def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The scorer's probabilities that texts are good."""
+    own, index, value = features(texts)
+    z = np.bincount(own, weights[index] * value, len(texts)) + bias
     return np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6)
 
 
@@ -152,33 +191,32 @@ def fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, target: np.ndarra
     return w, float(b)
 
 
-def train(docs: DataFrame) -> tuple[LabelModel, np.ndarray, float]:
-    """The label model, from all documents, and the scorer's weights and bias, from a sample."""
+def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray, float]:
+    """The label model, from all documents, and the scorer's weights and bias, from at most sample of them.  Rows equal in doc_id and text count each for the first and once for the second; no rows give a scorer of no opinion."""
     docs = docs.select(F.xxhash64("doc_id", "text").alias("node"), "text")
     counted = map_texts(docs, lambda texts, part: iter([{"code": codes(votes(texts))}]), "code int").groupBy("code").count().collect()
     seen = np.array([r.code for r in counted], np.int64)
     model = LabelModel(all_patterns()[seen], np.array([r["count"] for r in counted], np.int64))
     posterior = model.posterior(all_patterns())
-    chosen = docs.select("node").distinct().orderBy("node").limit(SAMPLE)
+    chosen = docs.select("node").distinct().orderBy("node").limit(sample)
 
     def run(texts, part):
-        h, owner = trigrams(texts)
-        key, count = np.unique(owner * DIMENSIONS + h, return_counts=True)
-        own = key // DIMENSIONS
-        n = np.bincount(own, count, len(texts))
-        yield {"node": part.column("node"), "target": posterior[codes(votes(texts))], "index": lists((key % DIMENSIONS).astype(np.int16), np.bincount(own, minlength=len(texts)), pa.int16()), "value": lists((count / n[own]).astype(np.float32), np.bincount(own, minlength=len(texts)), pa.float32())}
-
-    sample = map_texts(docs.join(F.broadcast(chosen), "node", "left_semi"), run, "node bigint, target double, index array<smallint>, value array<float>").dropDuplicates(["node"]).orderBy("node").toArrow()
-    index, value = (sample.column(c).combine_chunks() for c in ("index", "value"))
+        own, index, value = features(texts)
+        counts = np.bincount(own, minlength=len(texts))
+        yield {"node": part.column("node"), "target": posterior[codes(votes(texts))], "index": lists(index.astype(np.int16), counts, pa.int16()), "value": lists(value.astype(np.float32), counts, pa.float32())}
+
+    found = map_texts(docs.join(F.broadcast(chosen), "node", "left_semi"), run, "node bigint, target double, index array<smallint>, value array<float>").dropDuplicates(["node"]).orderBy("node").toArrow()
+    index, value = (found.column(c).combine_chunks() for c in ("index", "value"))
     size = np.diff(index.offsets.to_numpy()) if len(index) else np.zeros(0, np.int64)
-    w, b = fit(np.asarray(index.flatten()).astype(np.int64), np.asarray(value.flatten()).astype(np.float64), np.repeat(np.arange(len(size)), size), sample.column("target").to_numpy())
+    w, b = fit(np.asarray(index.flatten()).astype(np.int64), np.asarray(value.flatten()).astype(np.float64), np.repeat(np.arange(len(size)), size), found.column("target").to_numpy())
     return model, w, b
 
 
 def judge(docs: DataFrame, model: LabelModel, weights: np.ndarray, bias: float) -> DataFrame:
     """doc_id, posterior (of the labellers' votes), score (of the linear scorer) and accepted (score of at least 0.5) of each row.
 
-    A null or empty text gets no votes, posterior and score 0, and isn't accepted.  Equal rows have a row each.
+    A null, empty or white-space text gets no votes, posterior and score 0, and isn't accepted.  Equal rows have a row each and are judged alike; texts may be of
+    any length; no rows give none.
     """
     posterior = np.round(model.posterior(all_patterns()), 6)
 
