@@ -23,21 +23,25 @@ from pyspark.sql import functions as F
 from pressmill.llm.text import code_points, lowered, map_texts, slices, small_batches
 
 DIMENSIONS, SEED = 1024, 11
-#: Prototypes are bundled from at most so many labelled documents of a language, those of least hashed doc_id.
+#: Prototypes are bundled from at most so many labelled documents of a language, those of least hashed doc_id (an argument of train).
 SAMPLE_PER_LANGUAGE = 400
-#: A text of at least MIN_TRIGRAMS of which the cosine is less is in no known language: it is rejected, as is one without letters.  A shorter text says too little to reject it.
-MIN_COSINE, MIN_TRIGRAMS = 0.12, 30
-_LATIN, _SYMBOLS, _BLOCK = 0x250, 1024, 1024
+#: A text is rejected if its cosine is less than MIN_COSINE, less the error that a sample of so few trigrams has: SLACK by the root of their number.  One without letters is rejected too.
+MIN_COSINE, SLACK = 0.22, 0.7
+_LATIN, _SYMBOLS, _BLOCK = 0x250, 4096, 1024
 
 
 @lru_cache(1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Each code point's symbol (0: a blank; from 0x250 on, letters share symbols by remainder), and the symbols' vectors, three rotations of each."""
+    """Each code point's symbol (0: a blank; from 0x250 on, letters share 3,504 symbols by remainder, so that those of one alphabet have their own), and the symbols' vectors."""
     low = lowered().astype(np.int64)
     digit = np.array([chr(i).isdigit() and not 0xD800 <= i < 0xE000 for i in range(len(low))])
     symbol = np.where((low == 0) | digit, 0, np.where(low < _LATIN, low, _LATIN + low % (_SYMBOLS - _LATIN)))
-    v = (np.random.default_rng(SEED).integers(0, 2, (_SYMBOLS, DIMENSIONS), np.int8) * 2 - 1).astype(np.float32)
-    return symbol, np.stack([np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v])
+    return symbol, np.random.default_rng(SEED).integers(0, 2, (_SYMBOLS, DIMENSIONS), np.int8) * np.int8(2) - np.int8(1)
+
+
+def _bound(grams: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The vectors of trigrams: the product of their letters' vectors, the first rotated twice and the second once."""
+    return (np.roll(v[grams // _SYMBOLS**2], 2, axis=1) * np.roll(v[grams // _SYMBOLS % _SYMBOLS], 1, axis=1) * v[grams % _SYMBOLS]).astype(np.float32)
 
 
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +71,7 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         g = gram[own]
         c = np.zeros((len(texts), len(own)), np.float32)
         c[owner[lo:hi], np.searchsorted(own, np.arange(lo, hi), "right") - 1] = count[lo:hi]
-        out += c @ (v[0][g // _SYMBOLS**2] * v[1][g // _SYMBOLS % _SYMBOLS] * v[2][g % _SYMBOLS])
+        out += c @ _bound(g, v)
     return out, total
 
 
@@ -75,12 +79,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes of the languages in column lang, from at most SAMPLE_PER_LANGUAGE documents of each.  Rows with a null or empty text, id or language teach nothing; no rows, no prototypes."""
+def least(trigrams: np.ndarray) -> np.ndarray:
+    """The cosine that a text of so many trigrams needs."""
+    return MIN_COSINE - SLACK / np.sqrt(np.maximum(trigrams, 1))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> dict[str, np.ndarray]:
+    """Prototypes of the languages in column lang, from at most sample documents of each.  Rows with a null or empty text, id or language teach nothing; no rows, no prototypes."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
     known = docs.where("doc_id is not null and lang is not null")
     w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE_PER_LANGUAGE).drop("n")
+    chosen = known.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).drop("n")
 
     def run(texts, part):
         p = _unit(profiles(texts)[0])
@@ -100,7 +109,8 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """docs, all columns kept, with language, cosine and accepted under names that docs mustn't have: __pm_language, __pm_cosine, __pm_accepted.
 
-    A text without letters (also null and empty) has no language, cosine 0 and isn't accepted; without prototypes no text is.  Ties go to the first language by name.
+    A text without letters (also null and empty) has no language, cosine 0 and isn't accepted; without prototypes no text is.  Ties go to the first
+    language by name; each of several equal rows has the same answer; a text may be of any length; no rows give none.
     """
     small_batches(docs.sparkSession)
     names = sorted(prototypes)
@@ -113,7 +123,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
         best = cosine.argmax(1) if len(names) else np.full(len(texts), -1)
         top = np.round(cosine.max(1), 6).astype(np.float64) if len(names) else np.zeros(len(texts))
         best = np.where(trigrams > 0, best, -1)
-        return arrow_names[best], np.where(trigrams > 0, top, 0), (best >= 0) & ((top >= MIN_COSINE) | (trigrams < MIN_TRIGRAMS))
+        return arrow_names[best], np.where(trigrams > 0, top, 0), (best >= 0) & (top >= least(trigrams))
 
     @F.pandas_udf("language string, cosine double, accepted boolean")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
