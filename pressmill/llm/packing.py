@@ -1,6 +1,7 @@
 """Packing documents into sequences of fixed length: first-fit decreasing.
 
-Documents are dealt at random (a hash of id and text) to groups of about
+Documents are dealt at random (a hash of id and text, and of equal rows' number within
+a slice of the table, so that many equal rows don't end in one group) to groups of about
 GROUP_DOCUMENTS, and each group is packed by itself: longest first, into the
 first bin with room.  A tournament tree over the bins' free room finds that bin
 in log n steps.  Only lengths travel, not texts.
@@ -57,13 +58,18 @@ def pack_group(doc_id: np.ndarray, order: np.ndarray, tokens: np.ndarray, capaci
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text_hash and tokens of each document."""
+    """doc_id, text_hash and tokens of each document, and its number (same) among the equal rows of its slice of the table."""
 
     def run(texts, part):
         _, counts = encoder(vocabulary).encode(texts)
-        yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "tokens": counts}
+        seen: dict[tuple, int] = {}
+        same = []
+        for key in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), strict=True):
+            same.append(seen.setdefault(key, 0))
+            seen[key] += 1
+        yield {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "tokens": counts, "same": np.array(same, np.int32)}
 
-    return map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, tokens bigint")
+    return map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id bigint, text_hash bigint, tokens bigint, same int")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -74,7 +80,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     several equal rows is packed.  A null doc_id stays null.  An empty table gives no rows.
     """
     groups = max(1, math.ceil(docs.count() / GROUP_DOCUMENTS))
-    rows = token_counts(docs, vocabulary).where("tokens > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(SEED)), F.lit(groups)).cast("int"))
+    rows = token_counts(docs, vocabulary).where("tokens > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_hash", "same", F.lit(SEED)), F.lit(groups)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").combine_chunks()
