@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm import decontaminate, fingerprints, langid, licenses, packing, quality, queries, records, simhash, substrings, urlfilter
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node long, id string, th int, k string, v string, w string, x int, y int, tokens string, `group` string, language string, `a.b` string, text_hash string, n int, count int, root string, copies string, accepted string, item_id string, begin int, spans string, lengths string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node long, id string, th int, k string, v string, w string, x int, y int, tokens string, `group` string, language string, `a.b` string, text_hash string, n int, count int, root string, copies string, accepted string, item_id string, begin int, spans string, lengths string, `__pm_k` string, `__pm_h` string, `__pm_id` string, `__pm_n` string, `__PM_TEXT` string, places string, kk string, f string, b string, bytes string"
 STORY = "The quick brown fox met the lazy dog by the river and they spoke of all the things that had been and would be, until the sun went down over the hills. "
 LONG = " ".join(f"w{i % 9973}x{i % 7}" for i in range(120_000))
 ROWS = [(None, STORY + "no id"), (1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, STORY * 3), (5, STORY * 3), (6, STORY * 3), (7, "x"), (8, "!!! ???"), (8, "!!! ???"), (9, "\0 nul \U0001f600 é́ ͸"), (None, None), (10, "a " * 3000), (11, "a" * 100_000)]
@@ -55,6 +55,7 @@ def test_fingerprints(nasty, empty):
 
 def test_decontamination(nasty, empty, benchmark):
     rows = decontaminate.leaks(nasty, benchmark).collect()
+    assert {r.doc_id for r in rows if r.item_id == 4} == set()  # "short" is in none
     assert sorted((own(r.doc_id), r.item_id, r.begin) for r in rows) == sorted((own(i), 1, k * len(STORY)) for i, n in ((None, 1), (5, 3), (5, 3), (6, 3)) for k in range(n))
     left = decontaminate.drop_leaks(nasty, benchmark)
     assert left.columns == nasty.columns

@@ -43,7 +43,7 @@ def test_graph_components(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-# 1 --------------------------------------------------------------------------------------------------------------
+# 1
 
 
 def test_chunks_are_those_of_the_plain_version(docs):
@@ -66,6 +66,41 @@ def test_op1_containment(spark, sf_dir, docs):
         assert r.containment == pytest.approx(r.shared_bytes / r.bytes if r.bytes else 0)
 
 
+def test_op1_containers_against_all_pairs(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    sf_dir = big if os.path.isdir(big) else sf_dir
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()}
+    sets = {i: {c: len(c.encode()) for c in fingerprints.chunk(t)} for i, t in docs.items()}
+    share = lambda a, b: sum(n for c, n in a.items() if c in b) / sum(a.values())
+    rows = {r.doc_id: r for r in queries.op1_document_fingerprints(spark, sf_dir).collect()}
+    same = defaultdict(list)
+    for i, s in sets.items():
+        same[frozenset(s)].append(i)
+    for i, s in sets.items():
+        r, others = rows[i], [j for k, own in same.items() if k and i not in own for j in own[:1]]
+        if not s:
+            assert (r.class_id, r.links, r.container_id, r.contained) == (None, 0, None, None)
+            continue
+        assert (r.class_id, r.copies) == (min(same[frozenset(s)]), len(same[frozenset(s)]))
+        best = max((share(s, sets[j]) for j in others), default=0)
+        assert (r.contained or 0) == pytest.approx(share(s, sets[r.container_id]) if r.container_id is not None else 0)
+        assert r.contained is None or r.contained <= best + 1e-9
+        if best >= fingerprints.LINK:
+            assert r.contained >= fingerprints.LINK and r.links >= 1
+        assert r.links <= sum(share(s, sets[j]) >= fingerprints.LINK for j in others)
+
+
+def test_a_document_within_another_names_it(spark):
+    random.seed(6)
+    t = lambda n: " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(n))
+    footer, whole = t(300), t(6000)
+    # Ten pages share a footer; one is within a larger one, and two are equal.
+    rows = [(i, t(400) + " " + footer) for i in range(10)] + [(20, whole), (21, whole[3000:33000]), (22, whole[3000:33000])]
+    found = {r.doc_id: r for r in fingerprints.corpus_containment(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[21].container_id == 20 and found[21].contained > 0.8 and found[21].links == 1 and found[22].class_id == 21 and found[22].copies == 2
+    assert 0.6 < found[20].contained < 0.75 and all(0.2 < found[i].contained < 0.6 for i in range(10))
+
+
 def test_chunks_resist_shifts():
     random.seed(1)
     t = " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(3000))
@@ -73,17 +108,17 @@ def test_chunks_resist_shifts():
     assert sum(map(len, a & b)) > 0.85 * len(t)
 
 
-# 2 --------------------------------------------------------------------------------------------------------------
+# 2
 
 
 def test_op2_leaks(spark, sf_dir, docs):
     items = pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()
-    want = {(i, b["item_id"]) for i, t in docs.items() for b in items if len(words(b["text"])) >= decontaminate.MIN_WORDS and contains_words(t, b["text"])}
+    want = {(i, b["item_id"]) for i, t in docs.items() for b in items if words(b["text"]) and contains_words(t, b["text"])}
     rows = queries.op2_decontamination(spark, sf_dir).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and want
     by_id = {b["item_id"]: b["text"] for b in items}
     for r in rows:
-        assert words(docs[r.doc_id][r.begin : r.end]) == words(by_id[r.item_id])
+        assert words(docs[r.doc_id][r.begin : r.end]) == words(by_id[r.item_id]) and r.words == len(words(by_id[r.item_id]))
 
 
 def test_leaks_are_found_across_case_and_punctuation(spark):
@@ -95,14 +130,23 @@ def test_leaks_are_found_across_case_and_punctuation(spark):
     assert all(t[r.begin : r.end] == t[5:] for r in rows)
 
 
-def test_several_automata_find_the_same(spark, monkeypatch):
-    b = spark.createDataFrame([(i, f"question number {i} is what you ask of them all") for i in range(30)], "item_id int, text string")
-    d = spark.createDataFrame([(i, f"so: question number {i} is what you ask of them all.") for i in range(30)], "doc_id int, text string")
-    monkeypatch.setattr(decontaminate, "MAX_CHARS", 200)
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()) == [(i, i) for i in range(30)]
+def test_short_answers_are_found_and_drop_nothing(spark):
+    b = spark.createDataFrame([(1, "Which river runs through the old town, and where does it end?", "Seine"), (2, "?", "no")], "item_id int, question string, answer string")
+    d = spark.createDataFrame([(1, "The SEINE, no less."), (2, "north"), (3, "Which river runs through the old town, and where does it end? Seine.")], "doc_id int, text string")
+    both = ("question", "answer")
+    assert sorted((r.doc_id, r.item_id, r.begin, r.end, r.words) for r in decontaminate.leaks(d, b, both).collect()) == [(1, 1, 4, 9, 1), (1, 2, 11, 13, 1), (3, 1, 0, 60, 12), (3, 1, 62, 67, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b, both).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b, both, min_words=1).collect()) == [2]
+
+
+def test_one_automaton_of_five_million_characters(spark):
+    b = spark.range(60_000).selectExpr("id as item_id", "concat('question ', sha2(cast(id as string), 256), ' asks for ', id) as text").repartition(4)
+    d = spark.range(0, 60_000, 500).selectExpr("id as doc_id", "concat('So: Question ', upper(sha2(cast(id as string), 256)), ', asks for ', id, '.') as text")
+    assert b.selectExpr("sum(length(text))").first()[0] > 5_000_000
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()) == [(i, i) for i in range(0, 60_000, 500)]
 
 
-# 3 --------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def test_op3_repeats(spark, sf_dir, docs):
@@ -199,7 +243,7 @@ def test_edited_copies_of_a_hot_passage_are_found(spark):
     assert len(want) > 100 and len(want & found) >= 0.95 * len(want)
 
 
-# 4 --------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def test_op4_held_out_accuracy(spark, sf_dir):
@@ -216,23 +260,40 @@ def test_op4_held_out_accuracy(spark, sf_dir):
     assert queries.op4_url_filter(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
-def test_url_statistics_are_those_of_all_labelled_urls(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "SAMPLE", 20)
+def test_url_statistics_are_those_of_all_labelled_urls(spark):
     rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.x.t{i % 40}/{i}") for i in range(400)]
-    model = urlfilter.train(spark.createDataFrame(rows, "page_id bigint, url string"))
+    d = spark.createDataFrame(rows, "page_id bigint, url string")
+    model = urlfilter.train(d, sample=20)
     y = [int(i % 3 == 0) for i in range(400)]
     prior = sum(y) / 400
-    found = {r.suffix: r.suffix_rate for r in model.rates["suffix"].collect()}
+    found = {r.suffix: r.suffix_rate for r in model.rated(urlfilter._with_suffix(d)).collect()}
     assert found == {f"t{k}": pytest.approx((sum(y[k::40]) + urlfilter.SMOOTHING * prior) / (10 + urlfilter.SMOOTHING)) for k in range(40)}
 
 
+def test_labels_may_be_given_and_a_part_of_a_host_is_no_feature(spark):
+    # Labels that no word of the URL tells, but its shape does; hosts are renamed after training.
+    rows = [(i, f"http://{'ab' if i % 2 else 'cd'}.example.com/{'x/' * (5 if i % 3 == 0 else 1)}{i}", int(i % 3 == 0)) for i in range(600)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, y int")
+    model = urlfilter.train(d, F.col("y"))
+    renamed = d.withColumn("url", F.regexp_replace("url", "://(ab|cd)", "://ad"))
+    assert {(r.page_id, not r.accepted) for r in urlfilter.score(renamed, model).collect()} == {(i, y == 1) for i, _, y in rows}
+
+
+def test_a_url_s_own_label_isnt_in_its_rate(spark):
+    # Every suffix occurs once, so that with its own label in the rate a URL would give its label away.
+    rows = [(f"http://host.s{i}/{i % 7}", i % 2) for i in range(300)]
+    model = urlfilter.train(spark.createDataFrame(rows, "url string, y int"), F.col("y"))
+    scored = urlfilter.score(spark.createDataFrame([(i, f"http://host.new{i}/{i % 7}") for i in range(50)], "page_id bigint, url string"), model).collect()
+    assert all(0.2 < r.bad < 0.8 for r in scored)
+
+
 def test_url_features():
-    f = dict(zip(urlfilter.FEATURES, urlfilter.features(["https://a-b.example.com/x1/y?k=v&l=%20", ""], {"com": 0.25}, {}, 0.5)[0], strict=True))
-    assert (f["length"], f["host_length"], f["depth"], f["parameters"], f["escapes"], f["secure"], f["host_hyphens"], f["dots"]) == (38, 15, 2, 2, 1, 1, 1, 2)
-    assert f["suffix_rate"] == 0.25 and f["digits"] == pytest.approx(3 / 38)
+    f = dict(zip(urlfilter.FEATURES, urlfilter.features(["https://a-b.example.com/x1/y?k=v&l=%20", ""], [0.25, 0.5])[0], strict=True))
+    assert (f["length"], f["host_length"], f["depth"], f["parameters"], f["escapes"], f["secure"], f["host_hyphens"], f["dots"], f["labels"]) == (38, 15, 2, 2, 1, 1, 1, 2, 4)
+    assert f["suffix_rate"] == 0.25 and f["digits"] == pytest.approx(3 / 38) and f["vowels"] == pytest.approx(5 / 15)
 
 
-# 5 --------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def test_checksums_are_those_of_the_plain_version():
@@ -276,7 +337,7 @@ def test_tokens_are_the_tokenizers_own():
     assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [e.tokenizer.encode_ordinary(t) for t in texts]
 
 
-# 6 --------------------------------------------------------------------------------------------------------------
+# 6
 
 
 def test_label_model_finds_accuracies():
@@ -301,73 +362,124 @@ def test_op6_against_labels(spark, sf_dir, docs):
     assert sum(good) >= 0.9 * len(good)
 
 
-# 7 --------------------------------------------------------------------------------------------------------------
+def test_op6_tells_labelled_documents_apart(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    where = big if os.path.isdir(big) else sf_dir
+    rows = queries.op6_quality(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.accepted for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.15 * len(bad) and bad
+
+
+# 7
 
 
 def _numbers(f):
-    return [int(a) | int(b) << 64 | int(c) << 128 for a, b, c in f]
+    return [sum(int(x) << 64 * k for k, x in enumerate(row)) for row in f]
 
 
 def test_op7_against_all_pairs(spark, sf_dir, docs):
     ids = list(docs)
     f, some = simhash.simhash(list(docs.values()))
     ids_ = [i for i, s in zip(ids, some, strict=True) if s]
-    want = near_groups(ids_, [n for n, s in zip(_numbers(f), some, strict=True) if s], simhash.RADIUS)
+    numbers = [n for n, s in zip(_numbers(f), some, strict=True) if s]
+    want = near_groups(ids_, numbers, simhash.RADIUS)
     rows = {r.doc_id: r.kept_doc_id for r in queries.op7_simhash_near_dedup(spark, sf_dir).collect()}
     gone = {i for i, r in want.items() if i != r}
-    assert gone and len(gone & rows.keys()) >= 0.9 * len(gone)
+    assert gone and len(gone & rows.keys()) >= 0.95 * len(gone)
     assert all(want[i] == want[k] for i, k in rows.items())
+    # Up to twice as many bits as segments, less one, no pair is missed.
+    sure = near_groups(ids_, numbers, 2 * simhash.SEGMENTS - 1)
+    assert all(rows.get(i, i) == rows.get(r, r) for i, r in sure.items())
 
 
 def test_simhash_bits_are_majorities():
     t = "one two two three"
     f = simhash.simhash([t])[0][0]
     h = [int(x) >> 16 for x in {int(x) for x in text.Words([t]).hash}]
-    for k in range(3):
+    for k in range(simhash.BITS // 64):
         hashes = [int(text.mix(np.array([x + 0xA5A5A5A5 * (k + 1)], np.uint64))[0]).to_bytes(8, "little") for x in h]
         want = [sum(x[b // 8] >> (7 - b % 8) & 1 for x in hashes) * 2 > len(hashes) for b in range(64)]
         assert np.unpackbits(np.array([f[k]]).view(np.uint8)).astype(bool).tolist() == want
 
 
-def test_variants_match_segments_that_differ_by_one_bit():
+def _flipped(rng, row, bits):
+    out = row.copy()
+    for b in rng.choice(simhash.BITS, bits, replace=False).tolist():
+        out[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+def _segments(n):
+    return [n >> 20 * s & 0xFFFFF for s in range(simhash.SEGMENTS)]
+
+
+def _bucketed(f):
+    h = simhash.halves(f)
+    rows = sorted((int(b), int(i)) for i, row in enumerate(h) for b in row)
+    i, j = simhash.matches(np.array([b for b, _ in rows], np.int32), f[[i for _, i in rows]])
+    return {frozenset((rows[a][1], rows[b][1])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+
+
+def test_segments_that_differ_by_one_bit_always_meet():
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 1 << 63, (60, 3)).astype(np.uint64)
-    flip = base.copy()
-    for row in flip:
-        for _ in range(15):
-            b = int(rng.integers(192))
-            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    a, b = simhash.variants(base) >> 1, simhash.variants(flip) >> 1
-    assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
-    v, lead = np.concatenate([simhash.variants(base).ravel(), simhash.variants(flip).ravel()]), np.concatenate([np.repeat(base[:, 0], 200), np.repeat(flip[:, 0], 200)])
-    o = np.lexsort((lead, v))
-    i, j = simhash.matches(v[o], lead[o])
-    pairs = {frozenset((int(x), int(y))) for x, y in zip(lead[o][i], lead[o][j], strict=True)}
-    assert all(frozenset((int(x), int(y))) in pairs for x, y in zip(base[:, 0], flip[:, 0], strict=True) if x != y)
-
-
-def test_chance_matches_dont_hide_pairs():
-    # Unrelated rows share a bucket; two near ones stand at its ends.
-    rng = np.random.default_rng(3)
-    lead = rng.integers(0, 1 << 63, 500).astype(np.uint64)
-    lead[0], lead[-1] = 0, 1
-    i, j = simhash.matches(np.full(500, simhash._WIDTH << 25), lead)
-    assert (499, 0) in set(zip(i.tolist(), j.tolist(), strict=True))
+    base = rng.integers(0, 1 << 63, (60, simhash.BITS // 64)).astype(np.uint64)
+    flip = np.array([_flipped(rng, row, 2 * simhash.SEGMENTS - 1) for row in base])
+    assert [simhash.segment(base, np.full(60, s)).tolist() for s in range(simhash.SEGMENTS)] == list(map(list, zip(*map(_segments, _numbers(base)), strict=True)))
+    pairs = _bucketed(np.concatenate([base, flip]))
+    assert pairs == {frozenset((i, i + 60)) for i in range(60)}
 
 
-def test_rows_near_on_64_bits_alone_dont_hide_pairs(spark):
-    # All rows are near on the first 64 bits and share a segment there; only rows 3 and 9 are near on all bits, and share no other segment.
+def test_matches_connect_what_all_pairs_of_the_plain_index_connect():
+    # Families around a template, of which many share buckets, beside rows that share some by chance.
+    rng = np.random.default_rng(3)
+    rows = list(rng.integers(0, 1 << 63, (40, simhash.BITS // 64)).astype(np.uint64))
+    for spread in (8, 24, 40, 60):
+        template = rng.integers(0, 1 << 63, simhash.BITS // 64).astype(np.uint64)
+        rows += [_flipped(rng, template, spread) for _ in range(150)]
+    f = np.array(rows)
+    numbers = _numbers(f)
+    cut = list(map(_segments, numbers))
+    plain, found = Groups(), Groups()
+    for i in range(len(f)):
+        for j in range(i):
+            if (numbers[i] ^ numbers[j]).bit_count() <= simhash.RADIUS and any((a ^ b).bit_count() <= 1 for a, b in zip(cut[i], cut[j], strict=True)):
+                plain.join(i, j)
+    for pair in _bucketed(f):
+        i, j = pair
+        assert (numbers[i] ^ numbers[j]).bit_count() <= simhash.RADIUS
+        found.join(i, j)
+    assert [plain.find(i) for i in range(len(f))] == [found.find(i) for i in range(len(f))]
+    assert len({plain.find(i) for i in range(len(f))}) < len(f) - 200
+
+
+def test_wide_buckets_are_compared_like_narrow_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    template = rng.integers(0, 1 << 63, simhash.BITS // 64).astype(np.uint64)
+    f = np.array([_flipped(rng, template, int(n)) for n in rng.integers(10, 40, 300)])
+
+    def groups():
+        g = Groups()
+        for i, j in map(tuple, _bucketed(f)):
+            g.join(i, j)
+        return [g.find(i) for i in range(len(f))]
+
+    wide = groups()
+    monkeypatch.setattr(simhash, "_WIDE", 1 << 30)
+    assert groups() == wide
+
+
+def test_links_are_verified_on_all_bits(spark):
+    # All rows share segments; only rows 3 and 9 are near on all bits.
     rng = np.random.default_rng(4)
-    f = rng.integers(0, 1 << 62, (12, 3))
-    f[:, 0] = 1 << np.arange(12)
-    f[9, 1:] = f[3, 1:]
-    f[9].view(np.uint8)[6::3] ^= 3
+    f = rng.integers(0, 1 << 62, (12, simhash.BITS // 64)).astype(np.uint64)
+    f[:, 0] = 1 << np.arange(12).astype(np.uint64)
+    f[9] = _flipped(rng, f[3], 31)
     node = simhash.nodes_of(f)
-    nodes = spark.createDataFrame([(int(n), *map(int, x)) for n, x in zip(node, f, strict=True)], "node bigint, f0 bigint, f1 bigint, f2 bigint")
+    nodes = spark.createDataFrame([(int(n), x.tobytes()) for n, x in zip(node, f, strict=True)], "node bigint, f binary")
     assert [{r.a, r.b} for r in simhash.links(nodes).collect()] == [{int(node[3]), int(node[9])}]
 
 
-# 8 --------------------------------------------------------------------------------------------------------------
+# 8
 
 
 def test_op8_held_out_accuracy(spark, sf_dir):
@@ -378,16 +490,54 @@ def test_op8_held_out_accuracy(spark, sf_dir):
     assert sum(found.values()) >= 0.9 * len(found)
 
 
-def test_profiles_are_those_of_the_plain_version():
-    t = "Ab, c1d — ab"
+def _plain_profile(t):
     symbol, v = langid._letters()
-    s = [int(symbol[ord(c)]) for c in "ab c d ab"]
-    want = sum(v[0][a] * v[1][b] * v[2][c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
-    p, n = langid.profiles(["x", t])
-    assert n.tolist()[1] >= 7 and np.abs(p[1] - want).max() <= 3  # blanks at the ends may add a trigram each
+    seq, blank = [], True
+    for c in t + " ":
+        x = int(symbol[ord(c)])
+        if x or not blank:
+            seq.append(x)
+        blank = not x
+    out = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(seq, seq[1:], seq[2:], strict=False):
+        out += np.roll(v[a].astype(float), 2) * np.roll(v[b].astype(float), 1) * v[c]
+    return out, max(0, len(seq) - 2)
+
+
+def test_profiles_are_those_of_the_plain_version():
+    texts = ["x", "Ab, c1d — ab", " , été  où\n", "", "漢字かな交じり文", "приве́т мир", "a" * 400]
+    p, n = langid.profiles(texts)
+    for i, t in enumerate(texts):
+        want, count = _plain_profile(t)
+        assert np.array_equal(p[i], want) and n[i] == count
+
+
+def test_op8_against_the_plain_version(spark, sf_dir, docs):
+    table = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+    prototypes = {}
+    for r in table:  # all labelled documents: there are fewer than the bound
+        p, _ = _plain_profile(r["text"])
+        prototypes.setdefault(r["lang"], np.zeros(langid.DIMENSIONS))
+        prototypes[r["lang"]] += p / max(np.linalg.norm(p), 1e-9)
+    assert max(Counter(r["lang"] for r in table).values()) <= langid.SAMPLE_PER_LANGUAGE
+    rows = {r.doc_id: r for r in queries.op8_language_id(spark, sf_dir).collect()}
+    for i, t in docs.items():
+        p, n = _plain_profile(t)
+        cosine = {k: float(p @ v / np.linalg.norm(v) / max(np.linalg.norm(p), 1e-9)) for k, v in prototypes.items()}
+        assert rows[i].cosine == pytest.approx(max(cosine.values()), abs=1e-3)
+        assert cosine[rows[i].language] >= max(cosine.values()) - 1e-3
+        bound = langid.MIN_COSINE - langid.SLACK / max(n, 1) ** 0.5
+        assert rows[i].accepted == (max(cosine.values()) >= bound) or abs(max(cosine.values()) - bound) < 1e-3
+
+
+def test_other_languages_are_rejected(spark, sf_dir):
+    prototypes = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.", "qzx vkj wqp zzxv " * 40]
+    found = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), prototypes).collect()
+    assert not any(r["__pm_accepted"] for r in found)
 
 
-# 9 --------------------------------------------------------------------------------------------------------------
+# 9
 
 
 def test_patience_is_an_increasing_common_subsequence():
@@ -400,6 +550,76 @@ def test_patience_is_an_increasing_common_subsequence():
     assert len(licenses.patience(list(range(50)), [*range(20), 99, *range(20, 50)])) == 50
 
 
+def _plain_patience(a, b):
+    """How many words patience alignment aligns, by quadratic subsequences of anchors."""
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    common = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not common:
+        return n
+    best = []  # the longest increasing run that ends at each anchor
+    for i, (_, q) in enumerate(common):
+        best.append(max((best[j] for j in range(i) if common[j][1] < q), key=len, default=[]) + [common[i]])
+    chain = max(best, key=len)
+    for (p, q), (r, s) in zip([(-1, -1), *chain], [*chain, (len(a), len(b))], strict=True):
+        n += _plain_patience(a[p + 1 : r], b[q + 1 : s])
+    return n + len(chain)
+
+
+def test_patience_against_the_plain_version():
+    # Anchors in few orders, so that the longest run is unique: rotations and edits of a text.
+    random.seed(3)
+    for _ in range(100):
+        b = list(range(30)) + [3, 4, 5] * random.randrange(3)
+        a = [x if random.random() > 0.1 else 100 + random.randrange(5) for x in b]
+        cut = random.randrange(4, 8)
+        a = a[cut:] + a[:cut] if random.random() < 0.5 else a
+        assert len(licenses.patience(a, b)) == _plain_patience(a, b)
+
+
+def test_scan_against_every_window_of_the_plain_version(spark):
+    # A window of the template's length anywhere that plain alignment covers must be found, and nothing where none does.
+    random.seed(4)
+    templates = {"long": " ".join(f"w{i}" for i in range(40)), "short": "released under the mit license"}
+    rows, want = [], []
+    for i in range(60):
+        name = random.choice(list(templates))
+        t = templates[name].split()
+        edits = random.randrange(0, len(t) // 3)
+        t = [x if k not in random.sample(range(len(t)), edits) else f"e{k}" for k, x in enumerate(t)]
+        noise = [random.choice(["foo", "bar", "w3", "the", "license"]) for _ in range(30)]
+        text = noise + t + noise[::-1]
+        rows.append((i, " ".join(text)))
+        own = templates[name].split()
+        known = [x if x in own else f"-{k}" for k, x in enumerate(text)]
+        wide = len(own) + max(2, len(own) // 2)
+        cover = max(_plain_patience(known[k : k + wide], own) / len(own) for k in range(len(text) - wide + 1))
+        want.append((i, name, cover))
+    found = {(r.doc_id, r.license): r.coverage for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), templates).collect()}
+    for i, name, cover in want:
+        # Words of the noise can spoil an anchor in one window and not in another: near the bound two words are left open.
+        assert (i, name) in found or cover < licenses.MIN_COVERAGE + 2 / len(templates[name].split()), (i, name, cover)
+        assert (i, name) not in found or cover >= licenses.MIN_COVERAGE, (i, name, cover)
+        assert found.get((i, name), 0) <= cover + 1e-6
+    assert 5 < len(found) < 60
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        t = "Released under the MIT License. " * n
+        start = time.perf_counter()
+        assert len(licenses.matches([t], tuple(licenses.TEMPLATES.items()))) >= n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 30 * max(seconds(2000), 0.02)
+
+
 def test_op9_notices(spark, sf_dir, docs):
     rows = queries.op9_license_scan(spark, sf_dir).collect()
     found = defaultdict(set)
@@ -419,7 +639,7 @@ def test_licenses_with_words_changed_are_found():
     assert [(i, n) for i, n, *_ in got] == [(0, "MIT")] and got[0][2] > 0.9
 
 
-# 10 -------------------------------------------------------------------------------------------------------------
+# 10
 
 
 def test_tournament_is_first_fit_decreasing():
