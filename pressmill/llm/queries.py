@@ -117,8 +117,8 @@ ORACLES: dict[str, str] = {
         placed as (select *, sum(length(token)) over (partition by row order by i) as stop from pieces),
         docs as (select row, any_value(doc_id) as doc_id, list(lower(token) order by i) as w, list(stop - length(token) order by i) as b, list(stop order by i) as e from placed where regexp_matches(token, '{_WORD}') group by row),
         items as (select distinct item_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) as p from benchmark where item_id is not null and text is not null),
-        some as (select *, len(p) as n from docs, items where len(p) > 0 and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
-        places as (select *, unnest(range(1, len(w) - n + 2)) as i from some)
+        found as (select *, len(p) as n from docs, items where len(p) > 0 and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
+        places as (select *, unnest(range(1, len(w) - n + 2)) as i from found)
         select doc_id, item_id, cast(b[i] as integer) as "begin", cast(e[i + n - 1] as integer) as "end", cast(n as integer) as words from places where w[i : i + n - 1] = p
     """,
 }
