@@ -1,14 +1,15 @@
 """Stop words by language.
 
-The English lists are this package's own; other languages with a list in Spark's
-StopWordsRemover use that one, and the rest have the few most frequent function
-words here.  All lists are small constants, fit for literals in expressions.
+Languages with a list in Spark's StopWordsRemover have it (stopword_lists), and the most frequent
+function words here besides; the rest have these alone.  All lists are small constants, fit for literals in expressions.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+from pressmill.functions.stopword_lists import SPARK
+
 ENGLISH = frozenset("""
 a able about above across after again against ago all almost alone along already also although always am among an and another any anybody anyone
 anything anywhere are around as ask at away back be became because become been before began behind being below best better between both but by call
@@ -22,7 +23,7 @@ somebody someone something sometimes somewhere soon still such take tell ten tha
 think third this those though thought three through thus to today together told too took toward towards tried try turn two under until up upon us
 use used very via want was way we well went were what whatever when where whether which while who whole whom whose why will with within without
 won would year yes yet you your yours yourself
-""".split())
+""".split()) | frozenset(SPARK["en"].split())
 
 #: What the news analysis leaves out besides: agencies, calendar, numbers.
 NEWS = ENGLISH | frozenset("""
@@ -81,8 +82,7 @@ _FEW = {
 @lru_cache(64)
 def stopwords(language: str = "en") -> frozenset[str]:
     """A language's stop words; ValueError for a language that isn't in NAMES."""
-    if language == "en":
-        return ENGLISH
     if language not in NAMES:
         raise ValueError(f"no stop words for {language!r}")
-    return frozenset(_FEW["nb" if language == "no" else language].split())
+    code = "nb" if language == "no" else language
+    return ENGLISH if code == "en" else frozenset(_FEW[code].split()) | frozenset(SPARK.get(code, "").split())

@@ -52,7 +52,7 @@ def stopword_stats(text: Column, language: str = "en") -> Column:
         if language in ("ar", "fa"):
             words = F.regexp_extract_all(text, F.lit(r"(?U)(\w+|[^\w\s]+)"), 1)
         elif language == "zh":
-            chars = F.filter(F.split(plain, ""), lambda c: (c != "") & (c != " "))
+            chars = F.filter(F.split(F.regexp_replace(plain, r"(?U)\s+", ""), ""), lambda c: c != "")
             words = F.concat(chars, F.transform(F.when(n(chars) > 1, F.sequence(F.lit(1), n(chars) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i))))
         elif language in ("ja", "th"):
             words = F.regexp_extract_all(plain, F.lit(r"(\p{IsHiragana}+|\p{IsKatakana}+|\p{IsHan}+|\p{IsThai}+|[A-Za-z0-9]+)"), 1)

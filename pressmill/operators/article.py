@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import urls
 from pressmill.functions.stopwords import NAMES
-from pressmill.operators import extract, nlp
+from pressmill.operators import extract, images, nlp
 from pressmill.operators.body import with_body
 from pressmill.operators.config import Config
 from pressmill.operators.dom import parse_dom
@@ -29,7 +29,7 @@ def parse_articles(pages: DataFrame, config: Config = Config()) -> DataFrame:
     frame = parse_dom(pages).withColumn("meta_lang", lang)
     frame = with_body(frame, language=F.coalesce("meta_lang", F.lit(config.language)) if config.use_meta_language else F.lit(config.language), keep_html=config.keep_article_html)
     parsed = F.size("nodes") > 0
-    images = extract.absolute(extract.image_urls(nodes), url)
+    found = extract.absolute(extract.image_urls(nodes), url)
     top = F.get(extract.absolute(F.array(F.coalesce(F.nullif(extract.meta_image(nodes), F.lit("")), F.col("body.first_image"))), url), F.lit(0))
     frame = frame.withColumns({
         "source_url": F.when(urls.domain(url) != "", F.concat(F.coalesce(F.nullif(urls.scheme(url), F.lit("")), F.lit("http")), F.lit("://"), urls.domain(url))),
@@ -50,13 +50,23 @@ def parse_articles(pages: DataFrame, config: Config = Config()) -> DataFrame:
         "meta_data": extract.meta_data(nodes),
         "tags": extract.tags(nodes),
         "meta_img": F.coalesce(F.get(extract.absolute(F.array(F.nullif(extract.meta_image(nodes), F.lit(""))), url), F.lit(0)), F.lit("")),
-        "imgs": images,
+        "imgs": found,
         "top_img": F.coalesce(top, F.lit("")),
         "movies": F.transform("body.movies", lambda v: v["src"]),
     })
     return frame.withColumn("imgs", F.array_union("imgs", F.filter(F.array("meta_img"), lambda s: s != ""))).drop("nodes", "body")
 
 
+def with_top_images(articles: DataFrame, sizes: DataFrame, config: Config = Config()) -> DataFrame:
+    """Articles of which those without a top image have their largest one (the first by address among equals), by a table of sizes (url, width, height).  Unless config.fetch_images articles stay as they are."""
+    if not config.fetch_images:
+        return articles
+    lacking = articles.where("top_img = '' and size(imgs) > 0").select("url", "link_hash", F.explode("imgs").alias("__img")).distinct()
+    each = lacking.join(sizes.select(F.col("url").alias("__img"), "width", "height"), "__img").withColumn("__area", images.area(F.col("width"), F.col("height"), F.col("__img"), config.image_ratio))
+    best = each.where("__area > 0").groupBy("url", "link_hash").agg(F.min(F.struct((-F.col("__area")).alias("a"), "__img"))["__img"].alias("__top"))
+    return articles.join(best, ["url", "link_hash"], "left").withColumn("top_img", F.coalesce(F.nullif("top_img", F.lit("")), "__top", F.lit(""))).select(*articles.columns)
+
+
 def with_nlp(articles: DataFrame, config: Config = Config()) -> DataFrame:
     """Articles with keywords (of title and text, sorted) and summary."""
     frame = nlp.with_keywords(articles, "title", "__title_keywords", config.language)

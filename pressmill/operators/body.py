@@ -6,7 +6,7 @@ import re
 import string
 from dataclasses import dataclass, field
 from functools import lru_cache
-from html import unescape
+from html import escape, unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -177,22 +177,26 @@ def tidy(top: Node, language: str = "en") -> None:
 def article_html(top: Node) -> str:
     """The node with none but the tags of text, without scripts and handlers."""
 
-    def write(n: Node) -> str:
-        from html import escape
-
-        if n.tag in ("script", "style", "#comment"):
-            return ""
-        inner = escape(n.text, False) + "".join(write(c) + escape(c.tail, False) for c in n.children)
+    def tags(n: Node) -> tuple[str, str] | None:
+        if n.tag in ("script", "style"):
+            return None
+        text = escape(n.text, False)
         if n.tag not in KEPT_TAGS:
-            return inner
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if not k.startswith("on") and k != "style" and not v.strip().lower().startswith("javascript:"))
-        return f"<{n.tag}{attrs}>" if n.tag in VOID else f"<{n.tag}{attrs}>{inner}</{n.tag}>"
+            return text, ""
+        start = f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if not k.startswith("on") and k != "style" and not v.strip().lower().startswith("javascript:")) + ">"
+        return (start, "") if n.tag in VOID else (start + text, f"</{n.tag}>")
 
-    return f"<div>{write(top)}</div>" if top.tag not in KEPT_TAGS else write(top)
+    inner = top.written(tags, lambda n: "")
+    return inner if top.tag in KEPT_TAGS else f"<div>{inner}</div>"
 
 
-def _depth(n: Node) -> int:
-    return 1 + max((_depth(c) for c in n.children), default=0)
+def _filled(top: Node) -> set[int]:
+    """The nodes, by id(), that have text or an embedded object within."""
+    out: set[int] = set()
+    for n in reversed(list(top.walk())):
+        if n.tag in ("object", "embed") or n.tag != "#comment" and n.text.strip() or any(id(c) in out or c.tail.strip() for c in n.children):
+            out.add(id(n))
+    return out
 
 
 def formatted(top: Node) -> str:
@@ -208,11 +212,12 @@ def formatted(top: Node) -> str:
                 c.remove()
     for n in top.elements("b", "strong", "i", "br", "sup"):
         n.unwrap()
+    filled = _filled(top)
     for n in reversed(top.elements()):
-        if not n.inner_text() and not n.elements("object", "embed") and n.tag not in ("object", "embed"):
+        if id(n) not in filled:
             n.remove()
     kids = [c for c in top.children if c.tag != "#comment"]
-    if len(kids) >= 3 and kids[-1].attrs.get("class") != "zn-body__read-all" and _depth(kids[-1]) >= 2:
+    if len(kids) >= 3 and kids[-1].attrs.get("class") != "zn-body__read-all" and kids[-1].height() >= 2:
         kids[-1].remove()
     parts = []
     for c in top.children:

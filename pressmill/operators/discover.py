@@ -81,30 +81,45 @@ def feed_title(nodes: Column, brand: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(extract.by_tag(nodes, "title"), lambda n: n["inner_text"]), lambda t: t != ""), F.lit(0)), brand)
 
 
+def _site(frame: DataFrame) -> Column:
+    """The site that rows of categories or feeds belong to: their column domain, or without one their address's."""
+    return (F.col("domain") if "domain" in frame.columns else urls.domain(F.col("url"))).alias("domain")
+
+
 def category_articles(categories: DataFrame, nodes: str = "nodes") -> DataFrame:
     """source_url (the category's), url, title and pos of the links in categories that look like articles."""
-    links = categories.select(F.col("url").alias("source_url"), F.posexplode(extract.anchors(F.col(nodes))).alias("pos", "a"))
-    found = links.select("source_url", urls.prepare_url(F.col("a.href"), F.col("source_url")).alias("url"), F.col("a.text").alias("title"), F.col("pos").cast("bigint").alias("pos"))
+    return _category_articles(categories, nodes).drop("domain")
+
+
+def _category_articles(categories: DataFrame, nodes: str = "nodes") -> DataFrame:
+    links = categories.select(_site(categories), F.col("url").alias("source_url"), F.posexplode(extract.anchors(F.col(nodes))).alias("pos", "a"))
+    found = links.select("domain", "source_url", urls.prepare_url(F.col("a.href"), F.col("source_url")).alias("url"), F.col("a.text").alias("title"), F.col("pos").cast("bigint").alias("pos"))
     return found.where(urls.valid_article_url(F.col("url")))
 
 
 def feed_articles(feeds: DataFrame) -> DataFrame:
     """source_url (the feed's), url, title ('') and pos of the addresses in feeds (url, rss) that look like articles."""
-    links = feeds.select(F.col("url").alias("source_url"), F.posexplode(extract.text_urls(F.col("rss"))).alias("pos", "url"))
-    found = links.select("source_url", urls.prepare_url(F.col("url"), F.col("source_url")).alias("url"), F.lit("").alias("title"), F.col("pos").cast("bigint").alias("pos"))
+    return _feed_articles(feeds).drop("domain")
+
+
+def _feed_articles(feeds: DataFrame) -> DataFrame:
+    links = feeds.select(_site(feeds), F.col("url").alias("source_url"), F.posexplode(extract.text_urls(F.col("rss"))).alias("pos", "url"))
+    found = links.select("domain", "source_url", urls.prepare_url(F.col("url"), F.col("source_url")).alias("url"), F.lit("").alias("title"), F.col("pos").cast("bigint").alias("pos"))
     return found.where(urls.valid_article_url(F.col("url")))
 
 
-def unique(articles: DataFrame, key: str = "url", order: str = "pos") -> DataFrame:
-    """One row of each URL: the first one's place and the last one's values."""
-    values = [c for c in articles.columns if c not in (key, order)]
-    best = articles.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*values), F.struct(order, *values)).alias("__v"))
+def unique(articles: DataFrame, key: str | tuple[str, ...] = "url", order: str = "pos") -> DataFrame:
+    """One row of each key (a column or several): the first one's place and the last one's values."""
+    keys = (key,) if isinstance(key, str) else key
+    values = [c for c in articles.columns if c not in (*keys, order)]
+    best = articles.groupBy(*keys).agg(F.min(order).alias(order), F.max_by(F.struct(*values), F.struct(order, *values)).alias("__v"))
     return best.select(*(F.col(f"__v.{c}").alias(c) if c in values else F.col(c) for c in articles.columns))
 
 
 def not_seen(articles: DataFrame, memo: DataFrame) -> DataFrame:
-    """Articles whose (domain, url) the memo lacks; of a URL twice in articles, one."""
-    return unique(articles.withColumn("domain", urls.domain(F.col("source_url")))).join(memo.select("domain", "url"), ["domain", "url"], "left_anti")
+    """Articles whose (domain, url) the memo lacks; of a URL twice in one site's articles, one.  A page that one site has seen is still new to another.  Without a column domain it is source_url's."""
+    own = articles if "domain" in articles.columns else articles.withColumn("domain", urls.domain(F.col("source_url")))
+    return unique(own, ("domain", "url")).join(memo.select("domain", "url").distinct(), ["domain", "url"], "left_anti")
 
 
 def remember(memo: DataFrame, seen: DataFrame, most: int = MOST_MEMO) -> DataFrame:
@@ -129,11 +144,15 @@ def memo_domain(name: Column) -> Column:
 
 
 def generate_articles(categories: DataFrame, feeds: DataFrame, memo: DataFrame | None = None, most: int = MOST_ARTICLES) -> DataFrame:
-    """source_url, url, title and pos of new articles from categories (url, nodes) and feeds (url, rss), up to most; where both have a URL the category's values stay and the feed's place."""
-    found = category_articles(categories).withColumn("rank", F.lit(1)).unionByName(feed_articles(feeds).withColumn("rank", F.lit(0)))
+    """domain, source_url, url, title and pos of each site's new articles from categories (url, nodes) and feeds (url, rss), each once a site and up to most of a site, the first ones by place.
+
+    A site is a domain: that in a column of this name, or the category's or feed's own.  Where both have a URL the category's values stay and the feed's place.
+    """
+    found = _category_articles(categories).withColumn("rank", F.lit(1)).unionByName(_feed_articles(feeds).withColumn("rank", F.lit(0)))
     placed = found.withColumn("pos", F.col("rank") * F.lit(1 << 40) + F.col("pos")).drop("rank")
-    new = unique(placed) if memo is None else not_seen(placed, memo).drop("domain")
-    return new.select("source_url", "url", "title", "pos").orderBy("pos", "url").limit(most)
+    new = unique(placed, ("domain", "url")) if memo is None else not_seen(placed, memo)
+    first = new.withColumn("n", F.row_number().over(W.partitionBy("domain").orderBy("pos", "url"))).where(F.col("n") <= most)
+    return first.select("domain", "source_url", "url", "title", "pos")
 
 
 def cached(computed: DataFrame, cache: DataFrame, now: Column, key: str = "domain", days: int = 1) -> DataFrame:

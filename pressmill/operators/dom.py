@@ -8,7 +8,7 @@ html, head and body are there whether written or not.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -135,13 +135,42 @@ class Node:
 
     def outer_html(self) -> str:
         """The node written out, without its tail."""
-        if self.tag == "#comment":
-            return f"<!--{self.text}-->"
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}>"
-        inner = "".join(c.outer_html() + escape(c.tail, False) for c in self.children)
-        return f"<{self.tag}{attrs}>{escape(self.text, False)}{inner}</{self.tag}>"
+
+        def tags(n: Node) -> tuple[str, str]:
+            start = f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items()) + ">"
+            return (start, "") if n.tag in VOID else (start + escape(n.text, False), f"</{n.tag}>")
+
+        return self.written(tags, lambda n: f"<!--{n.text}-->")
+
+    def written(self, tags: Callable[[Node], tuple[str, str]], comment: Callable[[Node], str]) -> str:
+        """What tags gives for each element before and after its children, with escaped tails; a comment, or an element whose tags are None, is written as a whole by comment."""
+        out: list[str] = []
+        stack: list[Node | str] = [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+                continue
+            own = None if n.tag == "#comment" else tags(n)
+            if own is None:
+                out.append(comment(n))
+                continue
+            out.append(own[0])
+            stack.append(own[1])
+            if n.tag not in VOID or own[1]:
+                for c in reversed(n.children):
+                    stack.append(escape(c.tail, False))
+                    stack.append(c)
+        return "".join(out)
+
+    def height(self) -> int:
+        """How many nodes the longest way down has, this one included."""
+        most, stack = 1, [(self, 1)]
+        while stack:
+            n, depth = stack.pop()
+            most = max(most, depth)
+            stack.extend((c, depth + 1) for c in n.children)
+        return most
 
 
 class _Builder(HTMLParser):
@@ -253,8 +282,21 @@ NODE = T.StructType([
 ])
 
 
+TEXT_TAGS = frozenset(("a", "title", "h1"))
+AUTHOR_ATTRS = ("name", "rel", "itemprop", "class", "id")
+AUTHOR_VALUES = ("author", "byline", "dc.creator", "byl")
+
+
+def is_byline(attrs: dict[str, str]) -> bool:
+    """Whether an element may name an author."""
+    return any(v in attrs[k].lower() for k in AUTHOR_ATTRS if k in attrs for v in AUTHOR_VALUES)
+
+
 def rows(root: Node | None) -> list[tuple]:
-    """The tree's elements in document order, as NODE has them: an element's descendants are those from node_id + 1 to end_id."""
+    """The tree's elements in document order, as NODE has them: an element's descendants are those from node_id + 1 to end_id.
+
+    inner_text is there for links, titles, first headings and possible bylines alone, so that a page's rows are no longer than the page however deep it is nested.
+    """
     if root is None:
         return []
     out: list[list] = []
@@ -265,7 +307,7 @@ def rows(root: Node | None) -> list[tuple]:
             out[parent][1] = len(out) - 1
             continue
         me = len(out)
-        out.append([me, me, parent, depth, at, n.tag, n.attrs, n.text, n.tail, None if n.tag in ("html", "head", "body") else n.inner_text()])
+        out.append([me, me, parent, depth, at, n.tag, n.attrs, n.text, n.tail, n.inner_text() if n.tag in TEXT_TAGS or is_byline(n.attrs) else None])
         stack.append((None, me, 0, 0))
         kids = [c for c in n.children if c.tag != "#comment"]
         stack.extend((c, me, depth + 1, i) for i, c in reversed(list(enumerate(kids))))

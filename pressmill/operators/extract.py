@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 
 from pressmill.functions import urls
 from pressmill.functions.text import inner_trim
+from pressmill.operators.dom import AUTHOR_ATTRS, AUTHOR_VALUES
 
 NODES = F.col
-AUTHOR_ATTRS = ("name", "rel", "itemprop", "class", "id")
-AUTHOR_VALUES = ("author", "byline", "dc.creator", "byl")
 #: Where publication dates stand: attribute, value, attribute with the date.
 DATE_TAGS = (
     ("property", "rnews:datePublished", "content"), ("property", "article:published_time", "content"), ("name", "OriginalPublicationDate", "content"), ("itemprop", "datePublished", "datetime"), ("property", "og:published_time", "content"),
@@ -44,6 +43,74 @@ def having(nodes: Column, name: str, value: str) -> Column:
     return F.filter(nodes, lambda n: contains(n, name, value))
 
 
+def matching(nodes: Column, name: str, pattern: str) -> Column:
+    """The nodes of which the attribute matches a regular expression somewhere."""
+    return F.filter(nodes, lambda n: F.coalesce(attr(n, name).rlike(pattern), F.lit(False)))
+
+
+def by_id(nodes: Column, value: str) -> Column:
+    """The first node with this id; null without one."""
+    return first(F.filter(nodes, lambda n: attr(n, "id") == value))
+
+
+def siblings(nodes: Column, n: Column, before: bool = False) -> Column:
+    """The elements after a node (or before it) with its parent, in document order."""
+    return F.filter(nodes, lambda m: (m["parent_id"] == n["parent_id"]) & ((m["node_id"] < n["node_id"]) if before else (m["node_id"] > n["node_id"])))
+
+
+def css(nodes: Column, selector: str) -> Column:
+    """The nodes that a selector chooses, in document order: tags, #ids, .classes, [attr], [attr=value] (also ^=, $=, *= and ~=), descendants (a blank), children (>) and alternatives (,)."""
+    found = [_css_path(nodes, s.strip()) for s in selector.split(",")]
+    return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)), lambda a, b: a["node_id"] - b["node_id"])
+
+
+_SIMPLE = re.compile(r"""([A-Za-z][\w-]*|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*]?=)\s*["']?([^"'\]]*)["']?)?\s*\]""")
+
+
+def _simple(part: str):
+    """A condition on a node, for one compound such as a.b[c=d]."""
+    at, tests = 0, []
+    while at < len(part):
+        m = _SIMPLE.match(part, at)
+        if not m:
+            raise ValueError(f"no selector that is known here: {part!r}")
+        at = m.end()
+        tag, ident, cls, name, op, value = m.groups()
+        has = lambda n, k: F.concat(F.lit(" "), F.regexp_replace(F.coalesce(attr(n, k), F.lit("")), r"\s+", " "), F.lit(" "))
+        if tag and tag != "*":
+            tests.append(lambda n, t=tag.lower(): n["tag"] == t)
+        elif ident:
+            tests.append(lambda n, i=ident: attr(n, "id") == i)
+        elif cls:
+            tests.append(lambda n, c=cls: has(n, "class").contains(f" {c} "))
+        elif name:
+            tests.append({
+                None: lambda n, k=name: attr(n, k).isNotNull(), "=": lambda n, k=name, v=value: attr(n, k) == v, "^=": lambda n, k=name, v=value: attr(n, k).startswith(v), "$=": lambda n, k=name, v=value: attr(n, k).endswith(v),
+                "*=": lambda n, k=name, v=value: attr(n, k).contains(v), "~=": lambda n, k=name, v=value: has(n, k).contains(f" {v} "),
+            }[op])
+
+    def holds(n: Column) -> Column:
+        out = F.lit(True)
+        for t in tests:
+            out = out & F.coalesce(t(n), F.lit(False))
+        return out
+
+    return holds
+
+
+def _css_path(nodes: Column, selector: str) -> Column:
+    steps = re.findall(r"(>?)\s*([^\s>]+)", selector)
+    found = None
+    for child, part in steps:
+        holds = _simple(part)
+        if found is None:
+            found = F.filter(nodes, holds)
+        else:
+            inside = (lambda n, p: n["parent_id"] == p["node_id"]) if child else (lambda n, p: (n["node_id"] > p["node_id"]) & (n["node_id"] <= p["end_id"]))
+            found = F.filter(nodes, lambda n, up=found, h=holds, i=inside: h(n) & F.exists(up, lambda p: i(n, p)))
+    return found
+
+
 def by_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
@@ -137,10 +204,10 @@ def feed_links(nodes: Column, limit: int = 50) -> Column:
 
 def text_urls(text: Column) -> Column:
     """http(s) addresses in a text whose tags are taken out."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "<[^<]+?>", " "), F.lit(r"(https?://(?:[a-zA-Z0-9]|[$-_@.&+]|[!*(),]|%[0-9a-fA-F]{2})+)"), 1), lambda s: F.trim(s))
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "<[^<]+?>", " "), F.lit(r"(https?://[!$-_a-z]+)"), 1), lambda s: F.trim(s))
 
 
-# --- title -----------------------------------------------------------------------------------------------------
+# title
 
 
 def _plain(text: Column) -> Column:
@@ -160,15 +227,21 @@ def split_title(text: Column, separator: str, hint: Column) -> Column:
 
 def title(nodes: Column) -> Column:
     """The page's title, from its title, longest h1 (of more than two words) and og:title; '' without a title tag."""
-    titles = by_tag(nodes, "title")
-    text = F.coalesce(first(titles)["inner_text"], F.lit(""))
+    titles = F.transform(by_tag(nodes, "title"), lambda n: n["inner_text"])
     heads = F.transform(by_tag(nodes, "h1"), lambda n: n["inner_text"])
+    found = F.struct(titles.alias("titles"), heads.alias("heads"), meta_content(nodes, "property", "og:title").alias("property"), meta_content(nodes, "name", "og:title").alias("name"))
+    # Each step is bound once: written out, it would be computed wherever the rules below look at it.
+    return urls.let(found, lambda x: urls.let(F.struct(F.coalesce(first(x["titles"]), F.lit("")).alias("text"), _head(x["heads"]).alias("h1"), F.when(x["property"] != "", x["property"]).otherwise(x["name"]).alias("fb"), F.size(x["titles"]).alias("n")), _choose))
+
+
+def _head(heads: Column) -> Column:
     most = F.array_max(F.transform(heads, lambda s: F.length(s)))
-    longest = F.coalesce(first(F.filter(heads, lambda h: F.length(h) == most)), F.lit(""))
-    h1 = F.when(F.size(F.split(longest, " ")) <= 2, "").otherwise(inner_trim(longest))
-    by_property = meta_content(nodes, "property", "og:title")
-    fb = F.when(by_property != "", by_property).otherwise(meta_content(nodes, "name", "og:title"))
-    p_title, p_h1, p_fb = _plain(text), _plain(h1), _plain(fb)
+    longest = urls.let(most, lambda m: F.coalesce(first(F.filter(heads, lambda h: F.length(h) == m)), F.lit("")))
+    return urls.let(longest, lambda t: F.when(F.size(F.split(t, " ")) <= 2, "").otherwise(inner_trim(t)))
+
+
+def _choose(x: Column) -> Column:
+    text, h1, fb = x["text"], x["h1"], x["fb"]
     separated = (
         F.when(text.contains("|"), split_title(text, r"\|", h1))
         .when(text.contains("-"), split_title(text, " - ", h1))
@@ -177,27 +250,33 @@ def title(nodes: Column) -> Column:
         .when(text.contains(" » "), split_title(text, " » ", h1))
         .otherwise(text)
     )
-    chosen = (
-        F.when(h1 == text, text)
-        .when((p_h1 != "") & (p_h1 == p_fb), h1)
-        .when((p_h1 != "") & p_title.contains(p_h1) & (p_fb != "") & p_title.contains(p_fb) & (F.length(h1) > F.length(fb)), h1)
-        .when((p_fb != "") & (p_fb != p_title) & p_title.startswith(p_fb), fb)
-        .otherwise(separated)
-    )
-    chosen = F.replace(chosen, F.lit("&#65533;"), F.lit(""))
-    return F.when(F.size(titles) == 0, "").otherwise(F.when(p_h1 == _plain(chosen), h1).otherwise(chosen))
 
+    def rules(p: Column) -> Column:
+        p_title, p_h1, p_fb = p["title"], p["h1"], p["fb"]
+        chosen = (
+            F.when(h1 == text, text)
+            .when((p_h1 != "") & (p_h1 == p_fb), h1)
+            .when((p_h1 != "") & p_title.contains(p_h1) & (p_fb != "") & p_title.contains(p_fb) & (F.length(h1) > F.length(fb)), h1)
+            .when((p_fb != "") & (p_fb != p_title) & p_title.startswith(p_fb), fb)
+            .otherwise(separated)
+        )
+        return urls.let(F.replace(chosen, F.lit("&#65533;"), F.lit("")), lambda c: F.when(p_h1 == _plain(c), h1).otherwise(c))
+
+    return F.when(x["n"] == 0, "").otherwise(urls.let(F.struct(_plain(text).alias("title"), _plain(h1).alias("h1"), _plain(fb).alias("fb")), rules))
 
-# --- authors ---------------------------------------------------------------------------------------------------
+
+# authors
 
 
 def author_lines(nodes: Column) -> Column:
     """Texts that may name authors: by attribute, then value, then place in the page."""
-    found = []
-    for a in AUTHOR_ATTRS:
-        for v in AUTHOR_VALUES:
-            found.append(F.transform(having(nodes, a, v), lambda n: F.when(n["tag"] == "meta", attr(n, "content")).otherwise(n["inner_text"])))
-    return F.filter(F.concat(*found), lambda s: s.isNotNull() & (s != ""))
+    some = F.filter(nodes, lambda n: F.lower(F.concat_ws(" ", *(attr(n, a) for a in AUTHOR_ATTRS))).rlike("|".join(map(re.escape, AUTHOR_VALUES))))
+
+    def lines(few: Column) -> Column:
+        each = [F.transform(having(few, a, v), lambda n: F.when(n["tag"] == "meta", attr(n, "content")).otherwise(n["inner_text"])) for a in AUTHOR_ATTRS for v in AUTHOR_VALUES]
+        return F.filter(F.concat(*each), lambda s: s.isNotNull() & (s != ""))
+
+    return urls.let(some, lines)
 
 
 def byline(line: str) -> list[str]:
@@ -232,7 +311,7 @@ def authors(nodes: Column, most: int = 10) -> Column:
     return F.slice(_names(author_lines(nodes)), 1, most)
 
 
-# --- date ------------------------------------------------------------------------------------------------------
+# date
 
 
 @F.pandas_udf(T.TimestampType())
@@ -264,7 +343,7 @@ def publish_date(nodes: Column, url: Column) -> Column:
     return F.coalesce(urls.url_date(url).cast("timestamp"), _parsed(date_texts(nodes)))
 
 
-# --- meta data -------------------------------------------------------------------------------------------------
+# meta data
 
 
 def meta_entries(nodes: Column) -> Column:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.functions import urls as U
-from pressmill.operators import discover, dom
+from pressmill.operators import discover, dom, source
+from pressmill.operators.config import Config
 from pressmill.sources import memo as memos
 from pressmill.sources import pages as P
+from pressmill.sources import shared
 from pressmill.streaming import memo as streams
 
 _SITE = "concat('http://www.site', page_id % 9, '.example.com')"
@@ -28,7 +31,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.parse_dom(_pages(spark, sf_dir).where("page_id % 9 < 5").selectExpr(f"{_SITE} AS url", f"{HOME} AS html"))
+    return dom.parse_dom(_pages(spark, sf_dir).selectExpr(f"{_SITE} AS url", f"{HOME} AS html"))
 
 
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def site_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.category_urls(_homes(spark, sf_dir))
 
 
-SITE_CATEGORIES = """WITH s AS (SELECT DISTINCT page_id % 9 AS k FROM pages WHERE page_id % 9 < 5)
+SITE_CATEGORIES = """WITH s AS (SELECT DISTINCT page_id % 9 AS k FROM pages)
 SELECT concat('http://www.site', k, '.example.com') AS source_url, unnest([concat('http://www.site', k, '.example.com'), concat('http://www.site', k, '.example.com/world'), concat('http://sport.site', k, '.example.com')]) AS url FROM s"""
 
 
@@ -104,15 +107,89 @@ def site_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITE_UNIQUE = "SELECT o_custkey AS url, min(o_orderkey) AS pos, max_by(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY o_custkey"
 
 
+#: Categories and feeds of which several sites link to the same addresses.
+SHARED = """concat('<html><body><a href="http://wire.test/news/item-', page_id % 60, '">Item ', page_id, '</a><a href="/news/story-', page_id % 50, '">Story</a></body></html>')"""
+SHARED_RSS = """concat('<rss><link>http://wire.test/news/item-', page_id % 70, '</link></rss>')"""
+
+
 def site_new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of articles from categories and feeds that the memo lacks."""
-    return discover.generate_articles(_categories(spark, sf_dir), _feeds(spark, sf_dir), _memo(spark, sf_dir)).select("url", "pos")
+    """Each site's articles from categories and feeds that its memo lacks, up to ten of a site: sites share addresses, and what one has seen is new to others."""
+    p = _pages(spark, sf_dir)
+    categories = dom.parse_dom(p.selectExpr(f"concat({_SITE}, '/c/', page_id) AS url", f"{SHARED} AS html"))
+    feeds = p.selectExpr(f"concat({_SITE}, '/feed/', page_id) AS url", f"{SHARED_RSS} AS rss")
+    memo = p.where("page_id % 9 < 3 and page_id % 60 < 40").selectExpr("concat('www.site', page_id % 9, '.example.com') AS domain", "concat('http://wire.test/news/item-', page_id % 60) AS url")
+    return discover.generate_articles(categories, feeds, memo, 10).drop("domain")
 
 
 _MEMO = f"SELECT DISTINCT concat('www.site', page_id % 9, '.example.com') AS domain, concat({_SITE}, '/news/story-', page_id % 50) AS url FROM pages WHERE page_id % 2 = 0"
-SITE_NEW_ARTICLES = f"""WITH a AS (SELECT source_url, url, pos + 1099511627776 AS pos FROM ({_FROM_CATEGORIES}) UNION ALL SELECT source_url, url, pos FROM ({_FROM_FEEDS})), m AS ({_MEMO}),
-u AS (SELECT regexp_extract(source_url, '://([^/]*)', 1) AS domain, url, min(pos) AS pos FROM a GROUP BY ALL)
-SELECT url, pos FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.domain = u.domain AND m.url = u.url) ORDER BY pos, url LIMIT 5000"""
+SITE_NEW_ARTICLES = f"""WITH p AS (SELECT page_id, {_SITE} AS site FROM pages),
+a AS (SELECT site, concat(site, '/c/', page_id) AS source_url, unnest([concat('http://wire.test/news/item-', page_id % 60), concat(site, '/news/story-', page_id % 50)]) AS url, unnest([concat('Item ', page_id), 'Story']) AS title, unnest([0, 1])::BIGINT + 1099511627776 AS pos FROM p
+ UNION ALL SELECT site, concat(site, '/feed/', page_id), concat('http://wire.test/news/item-', page_id % 70), '', 0 FROM p),
+m AS (SELECT DISTINCT concat('http://www.site', page_id % 9, '.example.com') AS site, concat('http://wire.test/news/item-', page_id % 60) AS url FROM pages WHERE page_id % 9 < 3 AND page_id % 60 < 40),
+u AS (SELECT site, url, min(pos) AS pos, max_by((source_url, title), (pos, source_url, title)) AS v FROM a GROUP BY site, url),
+n AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.site = u.site AND m.url = u.url) QUALIFY row_number() OVER (PARTITION BY site ORDER BY pos, url) <= 10)
+SELECT v[1] AS source_url, url, v[2] AS title, pos FROM n"""
+
+
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small web: nine sites with a home page, a category, one with a feed, a missing one, and the driver's pages as articles, some of them missing."""
+    p = _pages(spark, sf_dir).selectExpr("page_id", "html", f"{_SITE} AS site")
+    by = p.groupBy("site").agg(F.sort_array(F.collect_list("page_id")).alias("ids"))
+    links = "array_join(transform(ids, i -> concat('<a href=\"/2014/05/01/story-', i, '\">Story ', i, '</a>')), '')"
+    items = "array_join(transform(filter(ids, i -> i % 2 = 0), i -> concat('<item><link>', site, '/2014/05/01/story-', i, '</link></item><item><link>', site, '/2014/05/02/feed-', i, '</link></item>')), '')"
+    parts = [
+        by.selectExpr("site AS url", "concat('<html><head><meta name=\"description\" content=\"All of ', site, '\"></head><body><a href=\"/world\">World</a><a href=\"/sport\">Sport</a><a href=\"/gone\">Gone</a><a href=\"/empty\">Empty</a></body></html>') AS html"),
+        by.selectExpr("concat(site, '/world') AS url", f"concat('<html><body>', {links}, '</body></html>') AS html"),
+        by.selectExpr("concat(site, '/sport') AS url", "'<html><head><link type=\"application/rss+xml\" href=\"/all.xml\"><link type=\"application/rss+xml\" href=\"/lost.xml\"></head><body></body></html>' AS html"),
+        by.selectExpr("concat(site, '/empty') AS url", "'' AS html"),
+        by.selectExpr("concat(site, '/all.xml') AS url", f"concat('<rss><title>Feed</title>', {items}, '</rss>') AS html"),
+        p.where("page_id % 7 <> 0").selectExpr("concat(site, '/2014/05/01/story-', page_id) AS url", "html"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[source.Sources, source.Fetch]:
+    fetch = source.stored(_web(spark, sf_dir))
+    memo = _pages(spark, sf_dir).where("page_id % 11 = 0").selectExpr("concat('www.site', page_id % 9, '.example.com') AS domain", f"concat({_SITE}, '/2014/05/01/story-', page_id) AS url")
+    return source.build(_pages(spark, sf_dir).selectExpr(f"{_SITE} AS url"), fetch, memo), fetch
+
+
+def source_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites discovered from their addresses: the articles that their memos lack."""
+    return _built(spark, sf_dir)[0].articles.drop("pos")
+
+
+_BUILT = f"""p AS (SELECT page_id, html, {_SITE} AS site FROM pages),
+a AS (SELECT site, page_id, concat(site, '/world') AS source_url, concat(site, '/2014/05/01/story-', page_id) AS url, concat('Story ', page_id) AS title FROM p WHERE page_id % 11 <> 0
+ UNION ALL SELECT site, page_id, concat(site, '/all.xml'), concat(site, '/2014/05/02/feed-', page_id), '' FROM p WHERE page_id % 2 = 0)"""
+SOURCE_BUILD = f"WITH {_BUILT} SELECT replace(site, 'http://', '') AS domain, source_url, url, title FROM a"
+
+
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each site has; missing and empty categories and feeds don't count."""
+    return _built(spark, sf_dir)[0].summary()
+
+
+SOURCE_SUMMARY = f"""WITH {_BUILT} SELECT replace(site, 'http://', '') AS domain, 'example' AS brand, concat('All of ', site) AS description, 3::BIGINT AS categories, 1::BIGINT AS feeds, count(*) AS articles FROM a GROUP BY site"""
+
+
+def source_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles that could be downloaded, with the length of their html."""
+    built, fetch = _built(spark, sf_dir)
+    return built.download_articles(fetch).articles.select("domain", "url", F.length("html").cast("bigint").alias("length"))
+
+
+SOURCE_DOWNLOADED = f"WITH {_BUILT} SELECT replace(a.site, 'http://', '') AS domain, url, length(html) AS length FROM a JOIN p USING (page_id) WHERE page_id % 7 <> 0 AND contains(url, '/story-')"
+
+
+def source_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles downloaded, parsed, and purged of those without a body."""
+    built, fetch = _built(spark, sf_dir)
+    short = replace(built, config=Config(min_word_count=20, min_sentence_count=2))
+    return short.download_articles(fetch).parse_articles().articles.select("domain", "url", "title", "text")
 
 
 def memo_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,10 +253,7 @@ POPULAR = "SELECT concat('http://', unnest([" + ", ".join(f"'{s}'" for s in P.PO
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressmill-")
-    return f"{base}/run-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 _EVENT_URL = "concat('http://', event_type, '.example.com/news/story-', user_id)"
@@ -219,11 +293,13 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_ARRIVALS = "SELECT strftime(ts, '%Y-%m-%d') AS day, concat(event_type, '.example.com') AS domain, count(*) AS n FROM events GROUP BY ALL"
 
 QUERIES = {
+    "source_build": source_build, "source_summary": source_summary, "source_downloaded": source_downloaded, "source_parsed": source_parsed,
     "site_sources": site_sources, "site_categories": site_categories, "site_common_feeds": site_common_feeds, "site_feeds": site_feeds, "site_category_articles": site_category_articles, "site_feed_articles": site_feed_articles, "site_unique": site_unique,
     "site_new_articles": site_new_articles, "memo_remember": memo_remember, "memo_table": memo_table, "memo_names": memo_names, "category_cache": category_cache, "trending": trending, "languages": languages, "popular": popular,
     "stream_new_articles": stream_new_articles, "stream_arrivals": stream_arrivals,
 }
 ORACLES = {
+    "source_build": SOURCE_BUILD, "source_summary": SOURCE_SUMMARY, "source_downloaded": SOURCE_DOWNLOADED,
     "site_sources": SITE_SOURCES, "site_categories": SITE_CATEGORIES, "site_common_feeds": SITE_COMMON_FEEDS, "site_feeds": SITE_FEEDS, "site_category_articles": SITE_CATEGORY_ARTICLES, "site_feed_articles": SITE_FEED_ARTICLES, "site_unique": SITE_UNIQUE,
     "site_new_articles": SITE_NEW_ARTICLES, "memo_remember": MEMO_REMEMBER, "memo_table": MEMO_TABLE, "memo_names": MEMO_NAMES, "category_cache": CATEGORY_CACHE, "trending": TRENDING, "popular": POPULAR,
     "stream_new_articles": STREAM_NEW_ARTICLES, "stream_arrivals": STREAM_ARRIVALS,

@@ -16,9 +16,9 @@ _CHARSET = re.compile(rb"""<meta[^>]+charset=["']?\s*([A-Za-z0-9_\-]+)""", re.IG
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """frame over more tasks where its files are too few to keep all cores busy (a file of one row group is one task's); as it is otherwise, so that a large table isn't shuffled."""
+    """frame over more tasks where its scan has fewer than there are cores (a file of one row group is one task's).  No result depends on it, and a scan of more tasks isn't shuffled."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(2 * cores) if len(frame.inputFiles()) < cores else frame
+    return frame.repartition(2 * cores) if frame._jdf.rdd().getNumPartitions() < cores else frame  # noqa: SLF001
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +38,7 @@ def decode(data: bytes | None, declared: str | None = None) -> str | None:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(name, "replace")
-    own = _CHARSET.search(data[:4096])
+    own = _CHARSET.search(data)
     for name in (None if (declared or "").lower() == "iso-8859-1" else declared, own and own.group(1).decode(), "utf-8"):
         try:
             if name:
@@ -54,10 +54,10 @@ def to_unicode(content: pd.Series) -> pd.Series:
 
 
 def response_html(body: Column, content_type: Column, ignored: dict[str, str]) -> Column:
-    """body, or the default of an ignored content type."""
+    """body, or the default of an ignored content type, which is compared as it stands, parameters included."""
     out = F.lit(None).cast("string")
     for kind, default in ignored.items():
-        out = F.coalesce(out, F.when(content_type.contains(kind), F.lit(default)))
+        out = F.coalesce(out, F.when(content_type == kind, F.lit(default)))
     return F.coalesce(out, body)
 
 
@@ -89,7 +89,7 @@ def fetch(urls: DataFrame, config: Config = Config(), partitions: int | None = N
         import requests
 
         session = requests.Session()
-        session.headers.update({"User-Agent": config.user_agent} | config.headers)
+        session.headers.update(config.headers or {"User-Agent": config.user_agent})
 
         def one(url):
             try:
@@ -97,9 +97,8 @@ def fetch(urls: DataFrame, config: Config = Config(), partitions: int | None = N
                 if config.http_success_only:
                     r.raise_for_status()
                 kind = r.headers.get("Content-Type", "")
-                for k, default in config.ignored_content_types.items():
-                    if k in kind:
-                        return default, r.status_code, None
+                if kind in config.ignored_content_types:
+                    return config.ignored_content_types[kind], r.status_code, None
                 charset = re.search(r"charset=([\w-]+)", kind)
                 return decode(r.content, charset and charset.group(1)), r.status_code, None
             except requests.RequestException as e:

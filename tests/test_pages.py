@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
+import pathlib
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import text as X
 from pressmill.functions import urls as U
-from pressmill.operators import article, body, clean, discover, dom, extract, images, nlp
+from pressmill.operators import article, body, clean, discover, dom, extract, images, nlp, source
 from pressmill.operators.config import Config
 from pressmill.sources import memo, pages
 
@@ -277,3 +279,100 @@ def test_sources_and_bytes(spark, tmp_path):
 def test_image_sizes():
     assert images.size_of(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (3).to_bytes(4) + (4).to_bytes(4)) == (3, 4)
     assert images.size_of(b"GIF89a" + bytes([5, 0, 6, 0])) == (5, 6) and images.size_of(b"\xff\xd8\xff\xc0\0\x11\x08\0\x07\0\x08" + bytes(9)) == (8, 7) and images.size_of(b"x") is None
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [("a", ["x", "y", "z"]), ("#one a", ["x", "y"]), ("div > a", ["x", "z"]), (".b.c", ["z"]), ("a[href^=http]", ["y"]), ("a[title], .b", ["x", "z"]), ("p a, div.d > a[title='t']", ["x", "y"]), ("ul a", [])],
+)
+def test_css(spark, selector, want):
+    html = "<div id=one class=d><a title=t>x</a><p><a href='http://s.test'>y</a></p></div><div><a class='b  c'>z</a></div>"
+    assert one(spark, F.transform(extract.css(N(), selector), lambda n: n["text"]), html) == want
+
+
+def test_navigation(spark):
+    html = "<ul><li id=i1 class=ab1>1<li>2<li class=ab22>3</ul>"
+    texts = lambda c: F.transform(c, lambda n: n["text"])
+    assert one(spark, texts(extract.matching(N(), "class", r"b\d\d$")), html) == ["3"]
+    assert one(spark, extract.by_id(N(), "i1")["text"], html) == "1" and one(spark, extract.by_id(N(), "i2"), html) is None
+    assert one(spark, texts(extract.siblings(N(), extract.by_id(N(), "i1"))), html) == ["2", "3"] and one(spark, texts(extract.siblings(N(), extract.by_id(N(), "i1"), before=True)), html) == []
+
+
+def test_deep_pages_neither_fail_nor_grow(spark):
+    html = "<div>" * 5000 + f"<p>{STORY}</p>" + "</div>" * 5000
+    found = body.body(html, keep_html=True)
+    assert STORY in found.text and STORY in found.article_html
+    rows = dom.rows(dom.parse(html))
+    assert len(rows) > 5000 and sum(len(r[9] or "") for r in rows) == 0
+    root = dom.parse(html)
+    assert root.height() > 5000 and root.outer_html().count("<div>") == 5000
+
+
+def test_sites_keep_their_own_limits_and_memos(spark):
+    html = lambda k: "<body>" + "".join(f"<a href='/2014/05/01/a{i}'>t</a>" for i in range(k)) + "<a href='http://w.test/2014/05/01/x'>w</a>"
+    categories = dom.parse_dom(spark.createDataFrame([(f"http://s{k}.test/c", html(40 * (k + 1))) for k in range(3)], "url string, html string"))
+    feeds = spark.createDataFrame([], "url string, rss string")
+    found = discover.generate_articles(categories, feeds, most=60).groupBy("domain").count().collect()
+    assert {r.domain: r["count"] for r in found} == {"s0.test": 41, "s1.test": 60, "s2.test": 60}
+    memo_ = spark.createDataFrame([("s1.test", "http://w.test/2014/05/01/x")], "domain string, url string")
+    left = discover.generate_articles(categories, feeds, memo_).where("url = 'http://w.test/2014/05/01/x'").collect()
+    assert {r.domain for r in left} == {"s0.test", "s2.test"}
+
+
+def test_a_broken_memo_raises_and_is_not_forgotten(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "u")], "domain string, url string")
+    memo.update(spark, str(tmp_path), rows)
+    (tmp_path / "v-999999999999-half").mkdir()  # a write that was cut off has no mark of success
+    assert memo.read(spark, str(tmp_path)).count() == 1
+    (latest,) = [p for p in tmp_path.iterdir() if (p / "_SUCCESS").exists()]
+    for p in latest.glob("*.parquet"):
+        p.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet|malformed|corrupt"):
+        memo.update(spark, str(tmp_path), rows)
+    assert len([p for p in tmp_path.iterdir() if (p / "_SUCCESS").exists()]) == 1
+
+
+@pytest.mark.parametrize("language", ["en", "de", "zh", "ja", "ko", "ar", "th", "hi"])
+def test_both_counts_of_stop_words_agree(spark, language):
+    texts = ["The cat and the hat, of all things.", "der Hund und die Katze", "我 的 书\t是 不 一样 的", "これは本です。私のものだ", "나는 학교에 간다", "من البيت إلى المدرسة", "ที่นี่ และ นั่น", "मैं घर में हूँ और वह", ""]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.stopword_stats(F.col("t"), language)["stop_word_count"].alias("n")).collect()
+    assert {r.t: r.n for r in found} == {t: body.count_stopwords(t, language) for t in texts}
+
+
+def test_articles_without_a_top_image_have_their_largest(spark):
+    a = spark.createDataFrame([("u1", "h", "", ["a", "b", "thin"]), ("u2", "h", "set", ["a"]), ("u3", "h", "", []), ("u4", "h", "", ["unknown"])], "url string, link_hash string, top_img string, imgs array<string>")
+    sizes = spark.createDataFrame([("a", 100, 100), ("b", 200, 150), ("thin", 2000, 100)], "url string, width int, height int")
+    top = lambda c: {r.url: r.top_img for r in article.with_top_images(a, sizes, c).collect()}
+    assert top(Config()) == {"u1": "b", "u2": "set", "u3": "", "u4": ""}
+    assert top(Config(image_ratio=30)) == {"u1": "thin", "u2": "set", "u3": "", "u4": ""} and top(Config(fetch_images=False))["u1"] == ""
+
+
+def test_sites_end_to_end(spark):
+    web = {
+        "http://www.x.test": "<meta name=description content=D><a href=/news>n</a><a href=/lost>l</a>",
+        "http://www.x.test/news": "<a href=/2014/05/01/a>A</a><a href=/2014/05/01/b>B</a><a href=/2014/05/01/seen>S</a>",
+        "http://www.x.test/feed": "<link type=application/rss+xml href=/all.xml>",
+        "http://www.x.test/all.xml": "<rss><title>T</title>http://www.x.test/2014/05/01/b http://www.x.test/2014/05/01/c</rss>",
+        "http://www.x.test/2014/05/01/a": f"<title>A long title</title><p>{STORY}</p><p>{STORY}</p>" * 3,
+        "http://www.x.test/2014/05/01/b": "<meta http-equiv=refresh content='0;url=http://www.x.test/2014/05/01/a'>",
+    }
+    fetch = source.stored(spark.createDataFrame(list(web.items()), "url string, html string"))
+    memo_ = spark.createDataFrame([("www.x.test", "http://www.x.test/2014/05/01/seen")], "domain string, url string")
+    built = source.build(spark.createDataFrame([("http://www.x.test",), ("http://www.x.test",), ("ftp://no.test",), (None,)], "url string"), fetch, memo_, Config(min_word_count=10, min_sentence_count=2, follow_meta_refresh=True))
+    assert [tuple(r) for r in built.summary().collect()] == [("www.x.test", "x", "D", 2, 1, 3)]
+    assert {(r.url[-1], r.title) for r in built.articles.collect()} == {("a", "A"), ("b", "B"), ("c", "")} and built.feeds.first().title == "T"
+    got = built.download_articles(fetch)
+    assert {r.url[-1] for r in got.articles.collect()} == {"a", "b"}  # c is missing; b leads to a
+    assert {(r.url[-1], r.title) for r in got.parse_articles().articles.collect()} == {("a", "A long title"), ("b", "A long title")}
+    assert built.remember(memo_).count() == 4
+
+
+#: A folder of real pages (html/*.html) and their main texts (text/*.txt), for whoever has one.
+GOLDEN = pathlib.Path(os.environ.get("GOLDEN_PAGES", "/nowhere"))
+
+
+@pytest.mark.skipif(not GOLDEN.is_dir(), reason="GOLDEN_PAGES names no folder")
+def test_main_texts_of_real_pages():
+    pairs = [(p, q) for p in sorted((GOLDEN / "html").glob("*.html")) if (q := GOLDEN / "text" / f"{p.stem}.txt").exists()]
+    same = [(body.body(p.read_text("utf-8", "replace")).text or "").split() == q.read_text("utf-8", "replace").split() for p, q in pairs]
+    assert pairs and sum(same) >= 2 * len(same) / 3
