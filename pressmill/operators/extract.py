@@ -61,7 +61,9 @@ def siblings(nodes: Column, n: Column, before: bool = False) -> Column:
 def css(nodes: Column, selector: str) -> Column:
     """The nodes that a selector chooses, in document order: tags, #ids, .classes, [attr], [attr=value] (also ^=, $=, *= and ~=), descendants (a blank), children (>) and alternatives (,)."""
     found = [_css_path(nodes, s.strip()) for s in selector.split(",")]
-    return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)), lambda a, b: a["node_id"] - b["node_id"])
+    if len(found) == 1:
+        return found[0]
+    return urls.let(F.concat(*(F.transform(f, lambda n: n["node_id"]) for f in found)), lambda ids: F.filter(nodes, lambda n: F.array_contains(ids, n["node_id"])))
 
 
 _SIMPLE = re.compile(r"""([A-Za-z][\w-]*|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*]?=)\s*["']?([^"'\]]*)["']?)?\s*\]""")
@@ -103,14 +105,16 @@ def _css_path(nodes: Column, selector: str) -> Column:
     found = None
     for child, part in steps:
         holds = _simple(part)
-        if found is None:
-            found = F.filter(nodes, holds)
-        else:
-            inside = (lambda n, p: n["parent_id"] == p["node_id"]) if child else (lambda n, p: (n["node_id"] > p["node_id"]) & (n["node_id"] <= p["end_id"]))
-            found = F.filter(nodes, lambda n, up=found, h=holds, i=inside: h(n) & F.exists(up, lambda p: i(n, p)))
+        found = F.filter(nodes, holds) if found is None else _below(nodes, found, holds, bool(child))
     return found
 
 
+def _below(nodes: Column, up: Column, holds, child: bool) -> Column:
+    """The nodes for which holds, that are children (or descendants) of some of up."""
+    inside = (lambda n, p: n["parent_id"] == p["node_id"]) if child else (lambda n, p: (n["node_id"] > p["node_id"]) & (n["node_id"] <= p["end_id"]))
+    return urls.let(up, lambda u: F.filter(nodes, lambda n: holds(n) & F.exists(u, lambda p: inside(n, p))))
+
+
 def by_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
