@@ -36,7 +36,7 @@ def keep(df: DataFrame) -> DataFrame:
 def store(df: DataFrame, path: str) -> DataFrame:
     """df written at path in the shared folder, compressed, and read from there.  The shuffle files of its computation go as soon as it is written, so that a job's steps don't add up on the executors' disks."""
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
+    before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
