@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.llm import decontaminate, fingerprints, langid, licenses, packing, quality, queries, records, simhash, substrings, urlfilter
+from pressmill.llm import decontaminate, fingerprints, langid, licenses, packing, quality, queries, records, simhash, storage, substrings, urlfilter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node long, id string, th int, k string, v string, w string, x int, y int, tokens string, `group` string, language string, `a.b` string, text_hash string, n int, count int, root string, copies string, accepted string, item_id string, begin int, spans string, lengths string, `__pm_k` string, `__pm_h` string, `__pm_id` string, `__pm_n` string, `__PM_TEXT` string, places string, kk string, f string, b string, bytes string"
 STORY = "The quick brown fox met the lazy dog by the river and they spoke of all the things that had been and would be, until the sun went down over the hills. "
@@ -147,3 +148,30 @@ def test_packing(nasty, empty):
 
 def test_every_query_states_its_table():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11)) and all(q.__doc__ for q in queries.QUERIES.values())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(spark)
+
+
+def test_names_that_a_table_lacks(spark):
+    d = spark.createDataFrame([(1, 2, 3)], "`__PM_K` int, `__pm_k_` int, k int")
+    assert storage.unused(d, "k", "k", "h") == ["__pm_k__", "__pm_k___", "__pm_h"]
+
+
+def test_helper_columns_of_the_caller_come_back_as_they_were(spark, benchmark):
+    rows = [(i, STORY * 2 if i < 2 else f"other text number {i}", f"a{i}", f"b{i}") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, `__pm_k` string, `__pm_h` string")
+    for left in (decontaminate.drop_leaks(d, benchmark), substrings.drop_repeats(d), simhash.drop_near_duplicates(d)):
+        found = left.collect()
+        assert found and all((r["__pm_k"], r["__pm_h"]) == (f"a{r.doc_id}", f"b{r.doc_id}") for r in found)
+
+
+def test_an_id_that_is_a_limit_is_no_null(spark):
+    least, most = -(2**63), 2**63 - 1
+    d = spark.createDataFrame([(least, STORY * 3), (most, STORY * 3 + "x"), (None, STORY * 3 + "y z")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.kept_doc_id) for r in substrings.repeats(d).collect()} == {(most, least), (None, least)}
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.kept_doc_id) for r in simhash.near_duplicates(d).collect())) == [(False, most, least), (True, 0, least)]
+    assert [r.doc_id for r in simhash.drop_near_duplicates(d).collect()] == [least]
