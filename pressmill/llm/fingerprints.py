@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pressmill.llm.storage import keep
@@ -26,6 +27,8 @@ from pressmill.llm.text import lists, small_batches
 LEAST, NORMAL, MOST = 64, 256, 1024
 #: A document is linked to those that hold at least such a share of it.
 LINK = 0.5
+#: Chunks of more classes are compared by way of patterns (see containers) instead of class by class; the result is the same.
+HOT = 64
 _HARD, _EASY = 10, 6
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SLICE_BYTES = 1 << 19
@@ -118,10 +121,9 @@ def _sized(digests: Column, lengths: Column) -> Column:
     return F.zip_with(digests, lengths, lambda d, n: d.bitwiseAND(F.lit(-2048)).bitwiseOR(n.cast("bigint")))
 
 
-def containment(sized: Column, others: Column) -> Column:
-    """The share of one fingerprint's bytes whose chunks are among another's, both as _sized gives them (a hash of one set is probed with the other); 0 for an empty fingerprint."""
-    weight = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, d: s + d.bitwiseAND(F.lit(2047)))
-    return F.when(F.size(sized) > 0, weight(F.array_intersect(sized, others)) / weight(sized)).otherwise(F.lit(0.0))
+def _weight(sized: Column) -> Column:
+    """The bytes of chunks as _sized gives them."""
+    return F.aggregate(sized, F.lit(0).cast("bigint"), lambda s, d: s + d.bitwiseAND(F.lit(2047)))
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -132,31 +134,49 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def containers(own: DataFrame) -> DataFrame:
-    """class, shared_bytes (in chunks that another class has too), links (how many of the classes it was compared with hold at least LINK of it), and of these classes the one that holds most: container_id (its least doc_id) and contained.
+    """class, shared_bytes (in chunks that another class has too), links (how many other classes hold at least LINK of it), and of all others the one that holds most: container_id (its least doc_id) and contained.
 
-    own: classes.  A class is compared with three holders of each of its chunks: the first, the last and the largest.  They come from an
-    aggregate that combines before the shuffle, so that a chunk in a third of all documents costs no more than as many others, and a class has at most three candidates a chunk.
-    The containment in each is exact.  Ties go to the least doc_id.
+    own: classes.  Every pair of classes that shares a chunk counts, with the exact containment; ties go to the least doc_id.  Pairs that share a
+    chunk of at most HOT classes are listed, and those chunks summed.  The other chunks are treated by patterns: the set of them that a class has.  What two classes
+    share of them depends on their patterns alone, so that it is found once for two patterns that meet, and counts for as many classes as have them.
     """
-    sized = own.select("class", "least", _sized(F.col("digests"), F.col("lengths")).alias("sized"), F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bytes"))
-    chunks = sized.select("class", "least", "bytes", F.explode("sized").alias("chunk"))
-    holders = [F.min(F.struct("least", "class")).alias("a"), F.max(F.struct("least", "class")).alias("b"), F.max(F.struct("bytes", "class")).alias("c")]
-    held = chunks.groupBy("chunk").agg(*holders, F.count("*").alias("n")).where("n > 1").select("chunk", *(F.col(f"{x}.class").alias(x) for x in "abc"))
-    each = chunks.select("class", "chunk").join(held, "chunk")
-    shared = each.groupBy("class").agg(F.sum(F.col("chunk").bitwiseAND(F.lit(2047))).alias("shared_bytes"), *(F.collect_set(x).alias(x) for x in "abc"))
-    pairs = shared.select("class", F.explode(F.array_union(F.array_union("a", "b"), "c")).alias("other")).where("other <> class")
-    both = pairs.join(sized.select("class", "sized"), "class").join(sized.select(F.col("class").alias("other"), F.col("least").alias("other_least"), F.col("sized").alias("other_sized")), "other")
-    share = both.select("class", "other_least", containment(F.col("sized"), F.col("other_sized")).alias("share"))
-    best = F.min(F.struct((-F.col("share")).alias("less"), "other_least")).alias("best")
-    most = share.groupBy("class").agg(F.count_if(F.col("share") >= LINK).alias("links"), best)
-    return shared.join(most, "class", "left").select("class", "shared_bytes", "links", F.col("best.other_least.doc_id").alias("container_id"), (-F.col("best.less")).alias("contained"))
+    chunks = own.select("class", F.explode(_sized(F.col("digests"), F.col("lengths"))).alias("chunk"))
+    each = keep(chunks.join(chunks.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1"), "chunk"))
+    size = lambda c: F.col(c).bitwiseAND(F.lit(2047))
+    hot = each.where(F.col("n") > HOT).groupBy("class").agg(F.sort_array(F.collect_set("chunk")).alias("hot")).withColumn("pattern", F.xxhash64("hot"))
+    known = keep(own.select("class", "least", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bytes")).join(each.groupBy("class").agg(F.sum(size("chunk")).alias("shared_bytes")), "class").join(hot, "class", "left"))
+    enough = lambda c: F.col(c) / F.col("bytes") >= LINK
+    best = lambda c, least: F.min(F.struct((-F.col(c)).alias("less"), F.col(least).alias("least")))
+    # Chunks of the same classes go as one.
+    held = each.where(F.col("n") <= HOT).groupBy("chunk").agg(F.sort_array(F.collect_list("class")).alias("classes")).groupBy("classes").agg(F.sum(size("chunk")).alias("rare"))
+    pairs = held.select("rare", "classes", F.explode("classes").alias("class")).select("rare", "class", F.explode("classes").alias("other")).where("other <> class").groupBy("class", "other").agg(F.sum("rare").alias("rare"))
+    both = pairs.join(known.select("class", "bytes", "hot"), "class").join(known.select(F.col("class").alias("other"), F.col("least").alias("other_least"), F.col("hot").alias("other_hot")), "other")
+    both = both.withColumn("common", F.coalesce(_weight(F.array_intersect("hot", "other_hot")), F.lit(0))).withColumn("all", F.col("rare") + F.col("common"))
+    # Patterns count what two classes share of the frequent chunks; here only what the others add to it.
+    listed = both.groupBy("class").agg(F.count_if(enough("all") & ~enough("common")).alias("listed"), best("all", "other_least").alias("best_listed"))
+    members = known.where("pattern is not null")
+    first = members.select("pattern", "least", F.row_number().over(W.partitionBy("pattern").orderBy("least")).alias("i")).where("i <= 2")
+    first = first.groupBy("pattern").agg(F.min(F.when(F.col("i") == 1, F.col("least"))).alias("a"), F.min(F.when(F.col("i") == 2, F.col("least"))).alias("b"))
+    patterns = keep(members.groupBy("pattern").agg(F.count("*").alias("members"), F.min("hot").alias("hot")).join(first, "pattern"))
+    of = patterns.select("pattern", F.explode("hot").alias("chunk"))
+    meet = of.join(of.select(F.col("pattern").alias("other"), "chunk"), "chunk").where("other <> pattern").groupBy("pattern", "other").agg(F.sum(size("chunk")).alias("common"))
+    level = meet.join(patterns.select(F.col("pattern").alias("other"), "members", "a"), "other").groupBy("pattern", "common").agg(F.sum("members").alias("members"), F.min("a").alias("a"))
+    levels = level.groupBy("pattern").agg(F.collect_list(F.struct("common", "members")).alias("levels"), best("common", "a").alias("best_other"))
+    out = known.join(listed, "class", "left").join(patterns.select("pattern", "members", "a", "b").join(levels, "pattern", "left"), "pattern", "left")
+    out = out.withColumn("own", _weight(F.col("hot")))
+    others = F.aggregate("levels", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x.common / F.col("bytes") >= LINK, x.members).otherwise(0))
+    none = F.lit(0).cast("bigint")
+    links = F.coalesce("listed", none) + F.coalesce(others, none) + F.when(enough("own"), F.col("members") - 1).otherwise(none)
+    alike = F.when(F.col("members") > 1, F.struct((-F.col("own")).alias("less"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("least")))
+    out = out.withColumn("best", F.least("best_listed", "best_other", alike))
+    return out.select("class", "shared_bytes", links.alias("links"), F.col("best.least.doc_id").alias("container_id"), (-F.col("best.less") / F.col("bytes")).alias("contained"))
 
 
 def corpus_containment(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its bytes, how many of them are in chunks that any other document has too, that share (containment in the rest of the corpus), and its place among the others.
 
     class_id and copies: the least doc_id of the documents with the same digest set, and how many they are.  container_id and
-    contained: of other sets the one that holds most of it, and the containment in it; links: how many of those it was compared with hold at least LINK
+    contained: of all other sets the one that holds most of it, and the containment in it; links: how many of them hold at least LINK
     of it (see containers).  Rows equal in doc_id and text are one document, not others of each other, and each has its row.  An empty fingerprint (of a
     null or empty text) has containment 0, no links and null for the rest.  A text may be of any length; an empty table gives no rows; a null doc_id comes back as null.
     """

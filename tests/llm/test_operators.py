@@ -101,6 +101,30 @@ def test_a_document_within_another_names_it(spark):
     assert 0.6 < found[20].contained < 0.75 and all(0.2 < found[i].contained < 0.6 for i in range(10))
 
 
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_every_holder_counts_however_many_share_a_chunk(spark, monkeypatch, hot):
+    # Sets of a few chunks in many combinations; above HOT a chunk is treated by patterns.
+    random.seed(9)
+    sizes = {random.getrandbits(52) << 11 | random.randrange(64, 1025): 0 for _ in range(40)}
+    chunks = list(sizes)
+    sets = [random.sample(chunks[:6], random.randrange(1, 5)) if i % 3 == 0 else random.sample(chunks, random.randrange(1, 9)) + random.sample(chunks[:4], i % 2) for i in range(120)]
+    sets = [{c: c & 2047 for c in s} for s in sets]
+    rows = [(i, i, list(s), list(s.values())) for i, s in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, node bigint, digests array<bigint>, lengths array<int>")
+    monkeypatch.setattr(fingerprints, "fingerprints", lambda docs: docs)
+    monkeypatch.setattr(fingerprints, "HOT", hot)
+    found = {r.doc_id: r for r in fingerprints.corpus_containment(prints).collect()}
+    first = {frozenset(s): i for i, s in reversed(list(enumerate(sets)))}
+    assert len(found) == len(sets)
+    for i, s in enumerate(sets):
+        shared = {j: sum(n for c, n in s.items() if c in o) for o, j in first.items() if o != s.keys()}
+        most = max(shared.values())
+        r = found[i]
+        assert r.links == sum(n / sum(s.values()) >= fingerprints.LINK for n in shared.values())
+        assert (r.container_id, r.contained) == (min(j for j, n in shared.items() if n == most), pytest.approx(most / sum(s.values())))
+        assert r.class_id == first[frozenset(s)]
+
+
 def test_chunks_resist_shifts():
     random.seed(1)
     t = " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(3000))
