@@ -492,6 +492,26 @@ def test_wide_buckets_are_compared_like_narrow_ones(monkeypatch):
     assert groups() == wide
 
 
+@pytest.mark.parametrize(("alone", "blocks"), [(1 << 13, 8), (10, 3), (10, 40)])
+def test_no_pair_within_the_radius_is_left_out(spark, monkeypatch, alone, blocks):
+    # Every segment differs by two bits at least, so that the index has none of these pairs; one bit more than RADIUS is no pair.
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (30, simhash.BITS // 64)).astype(np.uint64)
+    flip = base.copy()
+    for i in range(30):
+        for s, n in enumerate(rng.permutation([4, 4] + [3] * 14 if i % 2 else [5, 5, 4] + [3] * 11 + [2, 2] if i == 0 else [5, 5] + [3] * 12 + [2, 2])):
+            for b in rng.choice(20, n, replace=False):
+                flip[i, (20 * s + b) // 64] ^= np.uint64(1) << np.uint64((20 * s + b) % 64)
+    f = np.concatenate([base, flip])
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if int(simhash.distance(f[i], f[j])) <= simhash.RADIUS}
+    assert len(want) >= 25 and not {tuple(sorted(p)) for p in want} & {tuple(sorted(p)) for p in _bucketed(f)}
+    monkeypatch.setattr(simhash, "_ALONE", alone)
+    monkeypatch.setattr(simhash, "_BLOCKS", blocks)
+    node = {int(n): i for i, n in enumerate(simhash.nodes_of(f))}
+    nodes = spark.createDataFrame([(n, f[i].tobytes()) for n, i in node.items()], "node bigint, f binary")
+    assert {frozenset((node[r.a], node[r.b])) for r in simhash.links(nodes).collect()} == want
+
+
 def test_links_are_verified_on_all_bits(spark):
     # All rows share segments; only rows 3 and 9 are near on all bits.
     rng = np.random.default_rng(4)
