@@ -267,6 +267,16 @@ def test_edited_copies_of_a_hot_passage_are_found(spark):
     assert len(want) > 100 and len(want & found) >= 0.95 * len(want)
 
 
+def test_every_earlier_text_with_a_key_is_met(spark):
+    # Documents with the same windows.
+    k, w = np.arange(4), np.arange(4, dtype=np.uint64) << np.uint64(62) | np.uint64(60) << np.uint64(12) | np.uint64(46) << np.uint64(6)
+    kw = list(zip(k.tolist(), w.view(np.int64).tolist(), strict=True))
+    own = spark.createDataFrame([(i, 2 * (i if i < 5 else 3), kw) for i in range(6)], "id bigint, th bigint, kw array<struct<k: bigint, w: bigint>>")
+    met = {(r.id, r.kept_id) for r in substrings.hits(own).collect()}
+    # The last one's text is that of 3.
+    assert met == {(i, j) for i in range(5) for j in range(i)} | {(5, 3)}
+
+
 # 4
 
 
