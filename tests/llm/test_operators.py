@@ -275,6 +275,27 @@ def test_every_earlier_text_with_a_key_is_met(spark):
     met = {(r.id, r.kept_id) for r in substrings.hits(own).collect()}
     # The last one's text is that of 3.
     assert met == {(i, j) for i in range(5) for j in range(i)} | {(5, 3)}
+    # The first holders alone; and part by part, all pairs of those that aren't done.
+    pairs = lambda rows: {(r.id, r.kept_id) for r in rows.collect()}
+    assert pairs(substrings._met(substrings._found(own), True)) == {(i, 0) for i in range(1, 5)}
+    done = own.where("id in (1, 4)").select("id", "th")
+    parts = [pairs(substrings._met(substrings._found(own, done, one))) for one in range(substrings._PARTS)]
+    assert sum(map(len, parts)) == 5 and set().union(*parts) == {(i, j) for i in (2, 3) for j in range(i)}
+
+
+def test_versions_of_a_whole_text_meet_its_first_holders_alone(spark, monkeypatch):
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    text = [word() for _ in range(120)]
+    rows = [(0, " ".join(text))] + [(i, " ".join(word() if k in (3 * i % 100 + 5, 7 * i % 100 + 9) else w for k, w in enumerate(text))) for i in range(1, 31)]
+    # Beside them one that has an end of its own: it meets every version.
+    rows.append((31, " ".join(text[:100] + [word() for _ in range(60)])))
+    met, aligned = [], substrings._aligned
+    monkeypatch.setattr(substrings, "_aligned", lambda pairs, own: met.extend((r.id, r.kept_id) for r in pairs.collect()) or aligned(pairs, own))
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.words) for r in found if r.doc_id < 31} == {(i, 0, 120) for i in range(1, 31)}
+    assert max(r.first_word + r.words for r in found if r.doc_id == 31) == 100
+    assert {j for i, j in met if i == 31} == set(range(31)) and len([i for i, _ in met if i < 31]) < 30 * 31 / 2 / 3
 
 
 # 4
