@@ -191,11 +191,11 @@ PAGE_STATES = "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 1 WHEN page_id % 3
 
 
 def page_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where refresh tags lead, and pages with the html of where they lead."""
+    """Where refresh tags lead, and pages with the html of where they lead: of several pages with one address, a page's own."""
     pages = _pages(spark, sf_dir)
     to = F.expr("CASE WHEN page_id % 2 = 0 THEN concat('<meta http-equiv=\"Refresh\" content=\"0;URL=', url, '\">') ELSE concat('<meta http-equiv=\"refresh\" content=\"0; url=', url, '\">') END")
     made = pages.select("page_id", F.concat(F.lit("http://from.test/"), "page_id").alias("url"), to.alias("html"))
-    return P.follow_refresh(made, pages).select("page_id", F.length("html").cast("bigint").alias("chars"))
+    return P.follow_refresh(made, pages, ("page_id",)).select("page_id", F.length("html").cast("bigint").alias("chars"))
 
 
 PAGE_REFRESH = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN length(html) ELSE length(concat('<meta http-equiv=\"refresh\" content=\"0; url=', url, '\">')) END::BIGINT AS chars FROM pages"

@@ -71,10 +71,19 @@ def meta_refresh(html: Column) -> Column:
     return F.when((tag != "") & (F.size(parts) == 2) & F.lower(second).startswith("url="), F.regexp_replace(F.substring(second, 5, 1 << 20), "[\"']", ""))
 
 
-def follow_refresh(pages: DataFrame, all_pages: DataFrame | None = None) -> DataFrame:
-    """pages in which one with a refresh tag has the html of the page that it leads to, if all_pages (url, html) has it; one step."""
-    targets = (pages if all_pages is None else all_pages).select(F.col("url").alias("__to"), F.col("html").alias("__html"))
-    return pages.withColumn("__refresh", meta_refresh(F.col("html"))).join(targets, F.col("__refresh") == F.col("__to"), "left").withColumn("html", F.coalesce("__html", "html")).drop("__refresh", "__to", "__html")
+def follow_refresh(pages: DataFrame, all_pages: DataFrame | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """pages in which one with a refresh tag has the html of the page that it leads to, if all_pages (url, html) has it; one step.
+
+    Where all_pages has an address several times, a page gets the version equal to it in the columns same (of both tables), and of
+    several such the least html by hash, so that no page becomes two.
+    """
+    keys = [f"__same{i}" for i in range(len(same))]
+    named = (pages if all_pages is None else all_pages).select(F.col("url").alias("__to"), F.col("html").alias("__html"), *(F.col(c).alias(k) for c, k in zip(same, keys, strict=True)))
+    targets = named.where("__to is not null").groupBy("__to", *keys).agg(F.min_by("__html", F.struct(F.xxhash64("__html"), "__html")).alias("__html"))
+    on = F.col("__refresh") == F.col("__to")
+    for c, k in zip(same, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return pages.withColumn("__refresh", meta_refresh(F.col("html"))).join(targets, on, "left").withColumn("html", F.coalesce("__html", "html")).drop("__refresh", "__to", "__html", *keys)
 
 
 def fetch(urls: DataFrame, config: Config = Config(), partitions: int | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from pressmill.functions import text as X
-from pyspark.sql import functions as F
 
 from pressmill.plans import document_queries as D
+from pressmill.plans import page_queries as Q
+from pressmill.sources import pages as P
 
 
 def test_sentences_after_capitals_beyond_ascii_are_those_of_sql(spark):
@@ -16,3 +18,21 @@ def test_sentences_after_capitals_beyond_ascii_are_those_of_sql(spark):
     con.execute("CREATE TABLE documents AS SELECT unnest(range(3)) AS doc_id, unnest(?) AS text", [texts])
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", F.posexplode(X.sentences(F.col("text"))))
     assert sorted(tuple(r) for r in rows.collect()) == sorted(con.execute(D.DOC_SENTENCES).fetchall())
+
+
+def test_a_refresh_to_an_address_of_several_pages_gives_one_page(spark):
+    to = lambda u: f'<meta http-equiv="refresh" content="0;url={u}">'
+    made = spark.createDataFrame([(1, "http://a.test/1", to("http://x.test/")), (2, "http://a.test/2", to("http://x.test/")), (3, "http://a.test/3", to("http://no.test/"))], "page_id int, url string, html string")
+    there = spark.createDataFrame([(1, "http://x.test/", "one"), (2, "http://x.test/", "two"), (9, "http://x.test/", None), (8, None, "none")], "page_id int, url string, html string")
+    found = {r.page_id: r.html for r in P.follow_refresh(made, there, ("page_id",)).collect()}
+    assert found == {1: "one", 2: "two", 3: to("http://no.test/")}
+    plain = P.follow_refresh(made, there.unionByName(there))
+    assert plain.count() == 3 and plain.columns == made.columns
+    assert len({r.html for r in plain.where("page_id < 3").collect()}) == 1 and plain.where("html in ('one', 'two')").count() == 2
+
+
+def test_page_refresh_with_an_address_twice_is_its_sql(spark, tmp_path):
+    spark.createDataFrame([(i, f"http://x.test/{i // 4}", "<p>" + "x" * i) for i in range(12)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in Q.page_refresh(spark, str(tmp_path)).collect()) == sorted(con.execute(Q.PAGE_REFRESH).fetchall())
