@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as X
-
+from pressmill.operators import dom
 from pressmill.plans import document_queries as D
 from pressmill.plans import page_queries as Q
 from pressmill.sources import pages as P
@@ -36,3 +36,11 @@ def test_page_refresh_with_an_address_twice_is_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert sorted(tuple(r) for r in Q.page_refresh(spark, str(tmp_path)).collect()) == sorted(con.execute(Q.PAGE_REFRESH).fetchall())
+
+
+def test_names_of_entities_without_semicolon_stay_as_written():
+    root = dom.parse("<title>a&amp;b &amp c&ampd &copy x&notit; &#38 &lt;&amp</title><a href='?a=1&copy=2&amp;b=3'>R&D</a><!-- &lt --><script>a&amp&&lt;b</script>")
+    assert root.elements("title")[0].text == "a&b &amp c&ampd &copy x&notit; & <&amp"
+    assert root.elements("a")[0].attrs["href"] == "?a=1&copy=2&b=3" and root.elements("a")[0].text == "R&D"
+    assert [n.text for n in root.walk() if n.tag == "#comment"] == [" &lt "] and root.elements("script")[0].text == "a&amp&&lt;b"
+    assert dom.parse("<p>\U000f0000 &amp c").elements("p")[0].text == "\U000f0000 &amp c"
