@@ -143,14 +143,16 @@ def memo_domain(name: Column) -> Column:
     return F.translate(F.regexp_replace(name, r"\.txt$", ""), "-", "/")
 
 
-def generate_articles(categories: DataFrame, feeds: DataFrame, memo: DataFrame | None = None, most: int = MOST_ARTICLES) -> DataFrame:
-    """domain, source_url, url, title and pos of each site's new articles from categories (url, nodes) and feeds (url, rss), each once a site and up to most of a site, the first ones by place.
+def generate_articles(categories: DataFrame, feeds: DataFrame, memo: DataFrame | None = None, most: int | None = MOST_ARTICLES) -> DataFrame:
+    """domain, source_url, url, title and pos of each site's new articles from categories (url, nodes) and feeds (url, rss), each once a site and up to most of a site, the first ones by place; all of them where most is None.
 
     A site is a domain: that in a column of this name, or the category's or feed's own.  Where both have a URL the category's values stay and the feed's place.
     """
     found = _category_articles(categories).withColumn("rank", F.lit(1)).unionByName(_feed_articles(feeds).withColumn("rank", F.lit(0)))
     placed = found.withColumn("pos", F.col("rank") * F.lit(1 << 40) + F.col("pos")).drop("rank")
     new = unique(placed, ("domain", "url")) if memo is None else not_seen(placed, memo)
+    if most is None:
+        return new.select("domain", "source_url", "url", "title", "pos")
     first = new.withColumn("n", F.row_number().over(W.partitionBy("domain").orderBy("pos", "url"))).where(F.col("n") <= most)
     return first.select("domain", "source_url", "url", "title", "pos")
 

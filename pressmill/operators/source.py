@@ -73,8 +73,8 @@ class Sources:
         return out.na.fill(0, ["categories", "feeds", "articles"])
 
 
-def build(sites: DataFrame, fetch: Fetch, memo: DataFrame | None = None, config: Config = Config(), most: int = discover.MOST_ARTICLES) -> Sources:
-    """Discovers all sites in sites (url): each site's articles that the memo lacks, up to most of it.
+def build(sites: DataFrame, fetch: Fetch, memo: DataFrame | None = None, config: Config = Config(), most: int | None = discover.MOST_ARTICLES) -> Sources:
+    """Discovers all sites in sites (url): each site's articles that the memo lacks, up to most of it (None: all).
 
     Rows that are no http(s) address go; a site is given once.  Home pages, categories and feeds that are missing or empty are left out.
     What was fetched is kept in the shared folder before the next step, so that no page is asked for again.

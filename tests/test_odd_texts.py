@@ -6,9 +6,10 @@ import duckdb
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as X
-from pressmill.operators import dom
+from pressmill.operators import discover, dom
 from pressmill.plans import document_queries as D
 from pressmill.plans import page_queries as Q
+from pressmill.plans import site_queries as S
 from pressmill.sources import pages as P
 
 
@@ -44,3 +45,18 @@ def test_names_of_entities_without_semicolon_stay_as_written():
     assert root.elements("a")[0].attrs["href"] == "?a=1&copy=2&b=3" and root.elements("a")[0].text == "R&D"
     assert [n.text for n in root.walk() if n.tag == "#comment"] == [" &lt "] and root.elements("script")[0].text == "a&amp&&lt;b"
     assert dom.parse("<p>\U000f0000 &amp c").elements("p")[0].text == "\U000f0000 &amp c"
+
+
+def test_a_site_without_a_limit_has_all_its_articles(spark):
+    links = "".join(f'<a href="/2014/05/01/story-{i}">S</a>' for i in range(discover.MOST_ARTICLES + 7))
+    categories = dom.parse_dom(spark.createDataFrame([("a.test", "http://a.test/c", links)], "domain string, url string, html string"))
+    feeds = spark.createDataFrame([], "domain string, url string, rss string")
+    assert discover.generate_articles(categories, feeds, None, None).count() == discover.MOST_ARTICLES + 7
+    assert discover.generate_articles(categories, feeds).count() == discover.MOST_ARTICLES
+
+
+def test_source_build_of_more_articles_than_the_limit_is_its_sql(spark, tmp_path):
+    spark.range(9, 9 * 6000, 9).selectExpr("id AS page_id", "concat('http://p.test/', id) AS url", "'<p>x' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in S.source_build(spark, str(tmp_path)).collect()) == sorted(con.execute(S.SOURCE_BUILD).fetchall())
