@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as X
-from pressmill.operators import discover, dom
+from pressmill.operators import body, discover, dom
 from pressmill.plans import document_queries as D
 from pressmill.plans import page_queries as Q
 from pressmill.plans import site_queries as S
@@ -60,3 +61,13 @@ def test_source_build_of_more_articles_than_the_limit_is_its_sql(spark, tmp_path
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert sorted(tuple(r) for r in S.source_build(spark, str(tmp_path)).collect()) == sorted(con.execute(S.SOURCE_BUILD).fetchall())
+
+
+def test_trees_and_bodies_are_made_for_a_bounded_part_of_a_batch():
+    pages = [None, "", "<p>" + "x" * 1000, "<p>" + "y" * 3 * dom.SLICE_BYTES] + ["<p>It was the best of times and it was the worst of times.</p>" * 20] * 1500
+    trees = list(dom._tree.func(iter([pa.array(pages), pa.array([], pa.string()), pa.array(pages[:2])])))
+    assert sum(map(len, trees)) == len(pages) + 2 and len(trees) > 5
+    assert max(sum(len(p or "") for p in ps) for (ps,) in dom.in_slices([(pa.array(pages[4:]),)])) <= dom.SLICE_BYTES
+    assert [t for a in trees for t in a.to_pylist()][2][2]["text"] == "x" * 1000
+    texts = list(body.fulltext.func(iter([(pa.array(pages), pa.array(["en"] * len(pages)))])))
+    assert len(texts) > 5 and [t for a in texts for t in a.to_pylist()] == [body.body(p).text for p in pages[:5]] + [body.body(pages[4]).text] * 1499
